@@ -1,10 +1,14 @@
 """The queries of this subpackage by name, and the SQL of those that SQL can express."""
 
-from . import decontaminate, pii, simhash
+from . import bpe, decontaminate, html_text, pii, repeats, simhash, toxicity
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op5_main_text": html_text.op5_main_text,
+    "op6_bpe": bpe.op6_bpe,
+    "op7_repeats": repeats.op7_repeats,
     "op8_personal_data": pii.op8_personal_data,
     "op9_near_duplicates": simhash.op9_near_duplicates,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 SQL = {**decontaminate.SQL}
