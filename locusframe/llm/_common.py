@@ -90,8 +90,8 @@ def unsqueeze(data: bytes) -> bytes:
     return pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
 
 
-def pack(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (batch, ids, sizes, blob): documents in compressed batches of about BATCH_BYTES.
+def pack(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_BYTES) -> DataFrame:
+    """Rows (batch, ids, sizes, blob): documents in compressed batches of about size bytes of text.
 
     The number of a batch holds the number of the input partition, so a repeated task makes the same
     batches again. A null text is empty; ids keep their type and may be null.
@@ -106,7 +106,7 @@ def pack(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             ends = np.cumsum([len(x) for x in data])
             lo = 0
             while lo < len(data):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + BATCH_BYTES, "right")))
+                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
                 columns = [[number], [ids[lo:hi]], [[len(x) for x in data[lo:hi]]], [squeeze(b"".join(data[lo:hi]))]]
                 yield pa.RecordBatch.from_arrays([arrow_list(c, f.dataType) for c, f in zip(columns, schema, strict=True)], names=schema.names)
                 number, lo = number + 1, hi

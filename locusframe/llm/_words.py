@@ -10,14 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import checkpointed
+
 #: A word is common if it makes up 1 / SHARE of all; so there are at most SHARE common words.
-SHARE = 200_000
+SHARE = 500_000
 #: Words counted together in a task before their counts are given out.
-BLOCK = 2_000_000
+BLOCK = 8_000_000
 
 
-def common_words(df: DataFrame, column: str, split: Callable[[str], list[bytes]], share: int = SHARE) -> DataFrame:
-    """(word binary, n): at most share words, each of at least 1 / share of all words of the column.
+def common_words(df: DataFrame, column: str, split: Callable[[str], list[str]], share: int = SHARE) -> DataFrame:
+    """(word, n): at most share words, each of at least 1 / share of all words of the column.
 
     A word with that share has it in some block of the words too, so each task gives out only words
     that have it there: n is a lower bound of a word's count.
@@ -28,8 +30,8 @@ def common_words(df: DataFrame, column: str, split: Callable[[str], list[bytes]]
 
         def out() -> pa.RecordBatch:
             least = total / share
-            own = {w: n for w, n in counts.items() if n >= least and n > 1} | {b"": total}
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
+            own = {w: n for w, n in counts.items() if n >= least and n > 1} | {"": total}
+            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -42,9 +44,9 @@ def common_words(df: DataFrame, column: str, split: Callable[[str], list[bytes]]
         if total:
             yield out()
 
-    found = df.select(F.col(f"`{column}`")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = found.filter(F.length("word") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return found.filter((F.length("word") > 0) & (F.col("n") >= max(total / share, 1)))
+    found = checkpointed(df.select(F.col(f"`{column}`")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = found.filter(F.col("word") == "").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return found.filter((F.col("word") != "") & (F.col("n") >= max(total / share, 1)))
 
 
 def bucket(word: bytes, buckets: int) -> int:

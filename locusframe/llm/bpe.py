@@ -1,6 +1,6 @@
 """Byte-level BPE by a distinct-word table.
 
-Texts are split into the words that merges never cross. Each distinct word is encoded once: common
+Texts are split into words that merges never cross. Each distinct word is encoded once: common
 words (at most _words.SHARE of them) on the driver, to be sent to every task; the rest in the bucket
 of the word's hash. The ids of the rest come back to the batches that asked for them and are put at
 the words' positions. Decoding looks up the bytes of each id in the table of pieces and joins them.
@@ -17,13 +17,11 @@ import json
 import os
 import re
 import sys
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,10 +31,22 @@ from ._words import bucket, common_words
 
 TOKENIZER = "byte_bpe_50k.json"
 
-#: Unicode's white space.
+#: Text of a batch: the larger, the fewer times a rare word is asked for.
+BATCH = 16_000_000
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: The words that merges never cross.
-WORDS = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?[\p{{Nd}}\p{{Nl}}\p{{No}}]+| ?[^{SPACE}\p{{L}}\p{{Nd}}\p{{Nl}}\p{{No}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+#: A space that stands alone, where text on both sides is no white space. Every word of the tokenizer's own pattern ends before it.
+ALONE = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
+
+def split(text: str) -> list[str]:
+    """The words of a text: cut before each space that stands alone, the space being part of the word.
+
+    Merges never cross such a cut, nor does a special token hold a space.
+    """
+    pieces = text.split(" ")
+    if not all(pieces) or list(map(str.strip, pieces)) != pieces:  # white space beside some space
+        pieces = ALONE.split(text)
+    first, *rest = pieces
+    return [first, *[" " + w for w in rest]] if text else []
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -64,25 +74,6 @@ class Vocabulary:
             self.pieces[k] = bytes(letters[c] for c in piece)
         for piece, k in self.specials.items():
             self.pieces[k] = piece.encode()
-        self.between = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")") if self.specials else None
-        self.words_only = regex.compile(WORDS)
-        # characters that one Unicode version calls letters and the other doesn't know: the library itself splits such texts
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-        unsure = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
-        ends = [k for k, c in enumerate(unsure) if k + 1 == len(unsure) or unsure[k + 1] != c + 1]
-        spans = [f"{chr(unsure[a])}-{chr(unsure[b])}" for a, b in zip([0, *(e + 1 for e in ends)], ends)]
-        self.unsure = re.compile(f"[{''.join(spans)}]") if spans else None
-
-    def split(self, text: str) -> list[str]:
-        """The words of a text; special tokens stand alone and end what is before them."""
-        if self.between and self.between.search(text):
-            return [w for k, part in enumerate(self.between.split(text)) for w in ([part] if k % 2 else self.plain_split(part))]
-        return self.plain_split(text)
-
-    def plain_split(self, text: str) -> list[str]:
-        if self.unsure and not text.isascii() and self.unsure.search(text):
-            return [text[a:b] for _, (a, b) in self.encoder.pre_tokenizer.pre_tokenize_str(text)]
-        return self.words_only.findall(text)
 
     def encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers."""
@@ -113,22 +104,17 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     sc = docs.sparkSession.sparkContext
     n_buckets = max(64, 4 * parts(docs))
 
-    def split(text: str) -> list[bytes]:
-        return [w.encode() for w in vocabulary(path).split(text)]
-
-    names = sorted(bytes(r["word"]) for r in common_words(docs, text_col, split).select("word").collect())
-    table_of = dict(zip((n.decode() for n in names), vocabulary(path).encode([n.decode() for n in names])))
-    common = sc.broadcast(table_of)
-    packed = pack(docs, id_col, text_col)
+    names = sorted(r["word"] for r in common_words(docs, text_col, split).select("word").collect())
+    common = sc.broadcast(dict(zip(names, vocabulary(path).encode(names))))
+    packed = pack(docs, id_col, text_col, BATCH)
 
     def rare(data: list[bytes]) -> dict[int, list[str]]:
         """By bucket, the distinct words of a batch that aren't common, in order."""
-        known, voc = common.value, vocabulary(path)
         found: set[str] = set()
         for text in data:
-            found.update(voc.split(text.decode()))
+            found.update(split(text.decode()))
         out: dict[int, list[str]] = defaultdict(list)
-        for w in sorted(found - known.keys()):
+        for w in sorted(found - common.value.keys()):
             out[bucket(w.encode(), n_buckets)].append(w)
         return out
 
@@ -175,12 +161,8 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         out: list[list] = [[] for _ in fields]
         for names, sizes, blob in zip(*(left.column(c).to_pylist() for c in ("ids", "sizes", "blob"))):
             data = unpack(sizes, blob)
-            split = [voc.split(text.decode()) for text in data]
-            own: dict[int, list[str]] = defaultdict(list)
-            for w in sorted({w for ws in split for w in ws} - common.value.keys()):
-                own[bucket(w.encode(), n_buckets)].append(w)
             ids: dict[str, bytes] = {}
-            for b, ws in own.items():
+            for b, ws in rare(data).items():
                 n, x = got[b]
                 raw = unsqueeze(x)
                 counts = np.frombuffer(raw, "<u4", n, 1)
@@ -188,8 +170,8 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                 ends = 4 * np.cumsum([0, *counts])
                 ids.update(zip(ws, (values[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist()))))
             first, rest = common.value, ids
-            for name, ws in zip(names, split):
-                line = b"".join([first[w] if w in first else rest[w] for w in ws])
+            for name, text in zip(names, data):
+                line = b"".join([first[w] if w in first else rest[w] for w in split(text.decode())])
                 text = voc.decode(line)
                 row = (name, len(line) // 4, hashlib.sha256(line).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digests else (name, len(line) // 4, line, text)
                 for column, value in zip(out, row):
