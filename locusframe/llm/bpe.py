@@ -92,14 +92,17 @@ def vocabulary(path: str) -> Vocabulary:
     return kept[path]
 
 
-RESULT = T.StructType([T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())])
+#: What tokenize() can return of a text.
+COLUMNS = {
+    "ids": (T.BinaryType(), lambda ids, text: ids),
+    "decoded": (T.StringType(), lambda ids, text: text),
+    "ids_sha256": (T.StringType(), lambda ids, text: hashlib.sha256(ids).hexdigest()),
+    "decoded_sha256": (T.StringType(), lambda ids, text: hashlib.sha256(text.encode()).hexdigest()),
+}
 
 
-def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, digests: bool = False) -> DataFrame:
-    """Rows (id, n_tokens, ids, decoded); ids as little-endian unsigned 32-bit integers.
-
-    With digests, ids_sha256 and decoded_sha256 stand for the last two.
-    """
+def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, columns: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """The id, n_tokens and columns of each text; ids are little-endian unsigned 32-bit integers."""
     path = path or tokenizer_file()
     sc = docs.sparkSession.sparkContext
     n_buckets = max(64, 4 * parts(docs))
@@ -151,8 +154,8 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     answers = asked.groupBy("bucket").applyInArrow(answer, "batch long, bucket int, n int, ids binary")
 
     kind = docs.schema[id_col].dataType
-    fields = [T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType())]
-    fields += [T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())] if digests else [*RESULT.fields[1:]]
+    fields = [T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, COLUMNS[c][0]) for c in columns)]
+    makers = [COLUMNS[c][1] for c in columns]
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
         """The ids of a batch's texts: common words' from the table, the rest from the answers."""
@@ -173,8 +176,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             for name, text in zip(names, data):
                 line = b"".join([first[w] if w in first else rest[w] for w in split(text.decode())])
                 text = voc.decode(line)
-                row = (name, len(line) // 4, hashlib.sha256(line).hexdigest(), hashlib.sha256(text.encode()).hexdigest()) if digests else (name, len(line) // 4, line, text)
-                for column, value in zip(out, row):
+                for column, value in zip(out, (name, len(line) // 4, *(make(line, text) for make in makers))):
                     column.append(value)
         return pa.Table.from_arrays([arrow_list(c, f.dataType) for c, f in zip(out, fields)], names=[f.name for f in fields])
 
@@ -182,4 +184,4 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+    return tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=("ids_sha256", "decoded_sha256"))
