@@ -34,6 +34,8 @@ SAMPLE, SAMPLE_QUERIES = 4_000, 100
 #: Share of the true neighbours, on the sample, that the radius has to take in.
 SHARE = 0.97
 SUBSTRING = 8
+#: Tasks, at least, that the blocks of vectors are dealt to.
+TASKS = 12
 #: Vectors and queries in a block.
 BLOCK, QUERY_BLOCK = 4_096, 2_048
 
@@ -145,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     radius = radius_of(x, mean, rotation, k, total)
     asked = clean(queries, id_col, vector_col).filter(F.size("v") == width)
     n_q = max(1, -(-asked.count() // QUERY_BLOCK))
-    spread = max(1, 64 // n_q)
+    spread = max(1, TASKS // n_q)
 
     def flat(column: pa.ChunkedArray | pa.Array) -> bytes:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -169,27 +171,29 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     met = base.withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))).join(wanted, ["q", "part"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The best of each query over all blocks of vectors of the task."""
+        kept: dict[int, list[tuple[int, list[tuple[float, int]]]]] = {}
         for batch in batches:
-            for q_ids, q_v, ids, v in zip(*(batch.column(c).to_pylist() for c in ("q_ids", "q_v", "ids", "v"))):
+            for block, q_ids, q_v, ids, v in zip(*(batch.column(c).to_pylist() for c in ("q", "q_ids", "q_v", "ids", "v"))):
                 x, y = np.frombuffer(v, "<f8").reshape(-1, width), np.frombuffer(q_v, "<f8").reshape(-1, width)
                 index, codes = MultiIndex(encode(x, mean, rotation)), encode(y, mean, rotation)
                 least = min(k + 1, len(x))
-                found: list[list] = [[], [], []]
-                for q, own, code in zip(q_ids, y, codes):
+                own = kept.setdefault(block, [(q, []) for q in q_ids])
+                for (q, rows), vector, code in zip(own, y, codes):
                     at, r = index.within(code, radius), radius
                     while len(at) < least:
                         r += 4
                         at = index.within(code, r)
-                    scores = x[at] @ own
+                    scores = x[at] @ vector
                     top = best(scores, k + 1)
-                    rows = [(s, name) for p, s in zip(at[top].tolist(), scores[top].tolist()) for name in ids[p] if name != q]
-                    rows.sort(key=lambda r: (-r[0], r[1]))
-                    found[0] += [q] * min(k, len(rows))
-                    found[1] += [name for _, name in rows[:k]]
-                    found[2] += [s for s, _ in rows[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
-
-    near = met.select("q_ids", "q_v", "ids", "v").mapInArrow(search, "query_id long, vec_id long, score double")
+                    rows += [(-s, name) for p, s in zip(at[top].tolist(), scores[top].tolist()) for name in ids[p] if name != q]
+                    rows.sort()
+                    del rows[k:]
+        for own in kept.values():
+            flat_rows = [(q, name, -s) for q, rows in own for s, name in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*flat_rows) if flat_rows else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    near = met.select("q", "q_ids", "q_v", "ids", "v").mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
