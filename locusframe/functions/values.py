@@ -128,8 +128,8 @@ def url_decode(c) -> Column:
 
 def attributes(c, pair: str = ";", key: str = "=") -> Column:
     """A map of k=v; attributes, the last of repeated keys; surrounding blanks and empty pieces go."""
-    pieces = F.filter(F.transform(F.split(col(c), pair), F.trim), lambda p: p.contains(key) if key != " " else p.contains(" "))
-    cut = lambda p: F.struct(F.trim(F.substring_index(p, key, 1)).alias("key"), F.trim(F.expr("''") if False else F.regexp_replace(p, rf"^[^{key}]*{key}", "")).alias("value"))
+    pieces = F.filter(F.transform(F.split(col(c), pair), lambda p: F.trim(p)), lambda p: p.contains(key) if key != " " else p.contains(" "))
+    cut = lambda p: F.struct(F.trim(F.substring_index(p, key, 1)).alias("key"), F.trim(F.regexp_replace(p, rf"^[^{key}]*{key}", "")).alias("value"))
     pairs = F.transform(pieces, cut)
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
     return F.map_from_entries(last)

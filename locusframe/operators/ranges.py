@@ -85,7 +85,8 @@ def islands(df: DataFrame, by: list[str], gap: int = 0, start: str = "start", en
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
     opens = F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0)
     marked = df.withColumn("_opens", opens)
-    run = marked.withColumn("_island", F.sum("_opens").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = Window.partitionBy(*by).orderBy(start, end, F.desc("_opens"))  # of equal rows the one that opens
+    run = marked.withColumn("_island", F.sum("_opens").over(first.rowsBetween(Window.unboundedPreceding, 0)))
     return run.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 

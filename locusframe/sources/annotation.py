@@ -93,7 +93,7 @@ def gff(spark: SparkSession, path: str, types: str | None = None) -> DataFrame:
         name = F.when(own == "gene", get("gene_name")).otherwise(get("transcript_name"))
     else:
         ident = F.coalesce(get("ID"), get("exon_id"), F.concat_ws(".", "type", F.col("_row").cast("string")))
-        parent = F.transform(F.split(get("Parent"), ","), F.trim)
+        parent = F.transform(F.split(get("Parent"), ","), lambda p: F.trim(p))
         name = get("Name")
     return out.withColumns({"id": ident, "name": name, "parents": F.coalesce(parent, F.array().cast("array<string>"))})
 
