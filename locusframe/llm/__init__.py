@@ -1,8 +1 @@
 """Operations of a training-data pipeline. Nothing outside this subpackage imports it."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Executors get the code of these modules with the plan, whether or not the package is installed there.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
