@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .annotation import bed, gff
+from .binary import bam, big
 from .files import data_lines, lines, load
 
 
@@ -121,7 +122,11 @@ def open_signal(spark: SparkSession, path: str) -> DataFrame:
         return alignments_as_signal(sam(spark, path))
     if name.endswith((".gff", ".gff3", ".gtf")):
         return from_features(gff(spark, path))
-    if name.endswith((".bam", ".cram", ".bw", ".bigwig", ".bb", ".bigbed", ".useq", ".wib")):
+    if name.endswith(".bam"):
+        return alignments_as_signal(bam(spark, path))
+    if name.endswith((".bw", ".bigwig", ".bb", ".bigbed")):
+        return big(spark, path)
+    if name.endswith((".cram", ".useq", ".wib")):
         raise ValueError(f"{path}: binary signals are read after conversion to parquet, SAM, bedGraph or BED")
     return from_features(bed(spark, path))
 
