@@ -103,7 +103,7 @@ class BKTree:
 
 
 def links_within(values: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links that join all values of each component: (value, root), root the smallest."""
+    """Links that join all values (unsigned) of each component: (value, root), root the smallest."""
     tree = BKTree()
     up: dict[int, int] = {}
 
@@ -151,11 +151,10 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b), a > b: links over the distinct values of column fp that join whatever is within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, own, seen = None, [], set()
+        key, own = None, []
 
         def close():
-            links = links_within(own, radius) if len(own) > 1 else []
-            return [x for x in links if x not in seen]
+            return [(signed(a), signed(b)) for a, b in links_within(own, radius)] if len(own) > 1 else []
 
         found: list[tuple[int, int]] = []
         for batch in batches:
@@ -163,7 +162,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
                 if k != key:
                     found += close()
                     key, own = k, []
-                own.append(v)
+                own.append(v % (1 << 64))  # signs would spoil the distances
             if len(found) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
                 found = []
