@@ -31,7 +31,8 @@ from ._common import annotate, table, texts
 
 #: Labelled pages to learn from, and features to keep, at most.
 SAMPLE, FEATURES = 2_000, 5_000
-TAG_COST = 0.3
+#: Costs of a word and of a tag where an element speaks against its text.
+WORD_COST, TAG_COST = 0.1, 0.05
 
 MAIN = frozenset(("article", "main"))
 #: Elements whose content is no text.
@@ -141,8 +142,7 @@ def prior(feature: str) -> float:
 
 def word_score(around: frozenset[str], weights: dict[str, float]) -> float:
     """Of each word in a block: positive unless something around it speaks against it."""
-    against = [w for f in around if f not in MAIN and (w := min(prior(f), weights.get(f, 0.0))) < -0.5]
-    return max(-1.0, sum(against) / 2) if against else 1.0
+    return -WORD_COST if any(f not in MAIN and min(prior(f), weights.get(f, 0.0)) < -0.5 for f in around) else 1.0
 
 
 def best_run(scores: list[float]) -> tuple[int, int]:
@@ -160,7 +160,8 @@ def best_run(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: dict[str, float]) -> str:
     own = blocks(page)
     per_word = [word_score(around, weights) for _, around, _, _ in own]
-    scores = [w * (1 + text.count(" ")) - TAG_COST * tags * (w < 0) - 0.01 * tags for (text, _, tags, _), w in zip(own, per_word)]
+    words = [1 + text.count(" ") for text, *_ in own]
+    scores = [w * n - (TAG_COST * tags if w < 0 else min(TAG_COST * tags, n / 2)) for (_, _, tags, _), w, n in zip(own, per_word, words)]
     a, b = best_run(scores)
     return " ".join(text for (text, *_), w in zip(own[a:b], per_word[a:b]) if w > 0)
 
