@@ -165,7 +165,7 @@ class Model:
     def __init__(self, tokens_: int, distinct: int, once: int) -> None:
         self.n = tokens_
         self.denominator = tokens_ + ALPHA * (distinct + 1)
-        self.unseen = min(0.5, max(once, 1) / tokens_) if tokens_ else 1.0
+        self.unseen = min(0.5, max(once, 1) / tokens_) if tokens_ else 0.5
 
     def base(self, c: int) -> float:
         return math.log10((c + ALPHA) / self.denominator)
@@ -174,7 +174,7 @@ class Model:
         """lattice: the natural log of the word's marginal; None for the end of a text, which no lattice makes."""
         seen = math.log((1 - self.unseen) * c / self.n) if c else -math.inf
         if lattice is None:
-            return (seen if c else math.log(1 / (self.n + 1))) / LOG10
+            return (seen if c else math.log(0.5 / (self.n + 1))) / LOG10
         rest = math.log(self.unseen) + lattice
         high, low = max(seen, rest), min(seen, rest)
         return (high + math.log1p(math.exp(low - high))) / LOG10

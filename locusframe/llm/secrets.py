@@ -158,6 +158,9 @@ def findings(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, int, int, str,
         if rng.random() < 0.08:
             value = pick(alnum + "!@$%^&*", rng.randint(9, 16))
             name = rng.choice(("password", "passwd", "pwd"))
+        if rng.random() < 0.06:
+            kind = rng.choice(("RSA ", "EC ", "", "OPENSSH "))
+            return "", f"-----BEGIN {kind}PRIVATE KEY-----\n{pick(alnum + '+/', rng.randint(8, 200))}\n-----END {kind}PRIVATE KEY-----"
         return f"{name}{rng.choice((' = ', '=', ': ', ' := ', ' => '))}{rng.choice(('\"', '\"', "'", ''))}", value
 
     def plain() -> tuple[str, str]:
