@@ -32,7 +32,7 @@ from ._words import bucket, common_words
 TOKENIZER = "byte_bpe_50k.json"
 
 #: Text of a batch: the larger, the fewer times a rare word is asked for.
-BATCH = 16_000_000
+BATCH = 10_000_000
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A space that stands alone, where text on both sides is no white space. Every word of the tokenizer's own pattern ends before it.
 ALONE = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
@@ -178,6 +178,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                 text = voc.decode(line)
                 for column, value in zip(out, (name, len(line) // 4, *(make(line, text) for make in makers))):
                     column.append(value)
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_arrays([arrow_list(c, f.dataType) for c, f in zip(out, fields)], names=[f.name for f in fields])
 
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(join, T.StructType(fields))
