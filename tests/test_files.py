@@ -197,4 +197,4 @@ def test_sinks(spark, tmp_path):
     assert [r[0] for r in spark.read.text(str(tmp_path / "o")).collect()] == ["a", "b"]
     chunks = spark.createDataFrame([("c", 0, "ACGT" * 10)], "seq_id string, chunk long, text string")
     named = engine.FeatureTable(bed.fillna("f"))
-    assert engine.as_fasta(named, chunks, 1000).first()["line"] == ">f\nGTACGTACGT"
+    assert engine.as_fasta(named, chunks, 1000).first()["line"] == ">f\nACGTACGTAC"
