@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def corr(a: str, b: str) -> Column:
+    """Pearson's r, null where one of the two doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def pearson(rows: DataFrame, key: str = "_row") -> DataFrame:
     """r by region; null where one of the two doesn't vary."""
-    flat = (F.stddev_pop("ref") == 0) | (F.stddev_pop("test") == 0)
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.when(~flat, F.corr("ref", "test")).alias("r"))
+    return rows.groupBy(key).agg(F.count("*").alias("n"), corr("ref", "test").alias("r"))
 
 
 def ranks(rows: DataFrame, names: list[str], key: str = "_row") -> DataFrame:
@@ -41,8 +45,7 @@ def optimal_shift(rows: DataFrame, radius: int, key: str = "_row", least: float
     shifts = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
     moved = rows.select(key, "pos", "test").withColumn("shift", shifts).select(key, (F.col("pos") - F.col("shift")).alias("pos"), "shift", "test")
     both = rows.select(key, "pos", "ref").join(moved, [key, "pos"])
-    flat = (F.stddev_pop("ref") == 0) | (F.stddev_pop("test") == 0)
-    found = both.groupBy(key, "shift").agg(F.when(~flat, F.corr("ref", "test")).alias("r")).filter(F.col("r") > least)
+    found = both.groupBy(key, "shift").agg(corr("ref", "test").alias("r")).filter(F.col("r") > least)
     rounded = F.floor(F.col("r") * 1e9 + 0.5) / 1e9  # equal but for the order of a sum
     return found.groupBy(key).agg(F.min_by(F.struct("shift", "r"), F.struct(-rounded, F.abs("shift"), "shift")).alias("b")).select(key, "b.shift", "b.r")
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .correlate import corr
+
 SINGLE = ("start", "mid", "span", "cspan", "extend")
 PAIRED = ("start", "mid", "span", "cspan", "ends")
 
@@ -202,7 +204,7 @@ def cross_strand(counts: DataFrame, most: int = 500, step: int = 10) -> DataFram
     """(shift, r): how forward counts (seq_id, bin, strand, value) correlate with reverse ones so many bins on."""
     f = counts.filter("strand > 0").select("seq_id", "bin", F.col("value").alias("a"))
     r = counts.filter("strand < 0").withColumn("shift", F.explode(F.sequence(F.lit(0), F.lit(most), F.lit(step)))).select("seq_id", "shift", (F.col("bin") - F.col("shift")).alias("bin"), F.col("value").alias("b"))
-    return f.join(r, ["seq_id", "bin"]).groupBy("shift").agg(F.corr("a", "b").alias("r"), F.count("*").alias("n"))
+    return f.join(r, ["seq_id", "bin"]).groupBy("shift").agg(corr("a", "b").alias("r"), F.count("*").alias("n"))
 
 
 def high_regions(counts: DataFrame, low: float = 3, high: float = 10) -> DataFrame:

@@ -25,12 +25,15 @@ def part(spark, d):
 
 PART = """p as (select *, case p_partkey%10 when 0 then '.' when 1 then 'n/a' when 2 then null when 3 then '1d' when 4 then '1e2' else cast(p_size as varchar) end as odd,
 case when p_partkey%3<>0 then p_size-25 end as half, p_retailprice as price, case when p_partkey%10<4 then null when p_partkey%10=4 then 100.0 else cast(p_size as double) end as num from part)"""
-KEY = F.col("p_partkey").alias("id")
+
+
+def key():
+    return F.col("p_partkey").alias("id")
 
 
 def one(build, sql: str):
     """A query of one computed column v beside the part's key."""
-    return (lambda s, d: build(part(s, d)).select(KEY, "v"), f"with {PART} select p_partkey as id, {sql} as v from p")
+    return (lambda s, d: build(part(s, d)).select(key(), "v"), f"with {PART} select p_partkey as id, {sql} as v from p")
 
 
 def column(c, sql: str):
@@ -60,17 +63,17 @@ Q["with_commas"] = column(lambda: V.with_commas(F.col("p_partkey") * 12345 - 100
 Q["strand"] = column(lambda: V.strand(F.element_at(F.array(*[F.lit(x) for x in ("+", "-", ".", "1", "-1", "2", "*")]), (F.col("p_partkey") % 7 + 1).cast("int"))), "cast(case p_partkey%7 when 0 then 1 when 1 then -1 when 3 then 1 when 4 then -1 when 5 then -1 else 0 end as integer)")
 for how, x in {"mean": "avg(v)", "median": "quantile_cont(v,0.5)", "min": "min(v)", "max": "max(v)", "sum": "coalesce(sum(v),0)", "stdev": "stddev_pop(v)"}.items():
     Q[f"combine_{how}"] = (
-        lambda s, d, h=how: part(s, d).select(KEY, r6(K.combine(["odd", "half", "p_size"], h)).alias("v")),
+        lambda s, d, h=how: part(s, d).select(key(), r6(K.combine(["odd", "half", "p_size"], h)).alias("v")),
         f"with {PART}, u as (select p_partkey, unnest([num, cast(half as double), cast(p_size as double)]) as v from p) select p_partkey as id, {r6_sql(x)} as v from u group by p_partkey",
     )
 for sign, x in {"add": "price+m", "subtract": "price-m", "multiply": "price*m", "divide": "price/m"}.items():
-    Q[f"math_{sign}"] = (lambda s, d, o=sign: K.math(part(s, d), "price", o, "mean", "v").select(KEY, r6("v").alias("v")), f"with {PART}, t as (select avg(price) as m from p) select p_partkey as id, {r6_sql(x)} as v from p, t")
-Q["math_number"] = (lambda s, d: K.math(part(s, d), "price", "divide", 4, "v").select(KEY, "v"), f"with {PART} select p_partkey as id, price/4.0 as v from p")
-Q["percentile_rank"] = (lambda s, d: K.percentile_rank(part(s, d), "half", "v").select(KEY, r6("v").alias("v")), f"with {PART}, k as (select p_partkey, cume_dist() over (order by half) as v from p where half is not null) select p.p_partkey as id, {r6_sql('v')} as v from p left join k using (p_partkey)")
-Q["zscore"] = (lambda s, d: K.zscore(part(s, d), "price", "v").select(KEY, r6("v").alias("v")), f"with {PART}, t as (select avg(price) as m, stddev_pop(price) as q from p) select p_partkey as id, {r6_sql('(price-m)/q')} as v from p, t")
-Q["median_scale"] = (lambda s, d: K.median_scale(part(s, d), "half", 100, "v").select(KEY, r6("v").alias("v")), f"with {PART}, t as (select quantile_cont(cast(half as double),0.5) as m from p where half<>0) select p_partkey as id, {r6_sql('half*(100.0/m)')} as v from p, t")
+    Q[f"math_{sign}"] = (lambda s, d, o=sign: K.math(part(s, d), "price", o, "mean", "v").select(key(), r6("v").alias("v")), f"with {PART}, t as (select avg(price) as m from p) select p_partkey as id, {r6_sql(x)} as v from p, t")
+Q["math_number"] = (lambda s, d: K.math(part(s, d), "price", "divide", 4, "v").select(key(), "v"), f"with {PART} select p_partkey as id, price/4.0 as v from p")
+Q["percentile_rank"] = (lambda s, d: K.percentile_rank(part(s, d), "half", "v").select(key(), r6("v").alias("v")), f"with {PART}, k as (select p_partkey, cume_dist() over (order by half) as v from p where half is not null) select p.p_partkey as id, {r6_sql('v')} as v from p left join k using (p_partkey)")
+Q["zscore"] = (lambda s, d: K.zscore(part(s, d), "price", "v").select(key(), r6("v").alias("v")), f"with {PART}, t as (select avg(price) as m, stddev_pop(price) as q from p) select p_partkey as id, {r6_sql('(price-m)/q')} as v from p, t")
+Q["median_scale"] = (lambda s, d: K.median_scale(part(s, d), "half", 100, "v").select(key(), r6("v").alias("v")), f"with {PART}, t as (select quantile_cont(cast(half as double),0.5) as m from p where half<>0) select p_partkey as id, {r6_sql('half*(100.0/m)')} as v from p, t")
 Q["row_center"] = (
-    lambda s, d: K.row_center(part(s, d).withColumn("third", F.col("p_partkey") % 17), ["half", "p_size", "third"]).select(KEY, r6("half").alias("a"), r6("p_size").alias("b"), r6("third").alias("c")),
+    lambda s, d: K.row_center(part(s, d).withColumn("third", F.col("p_partkey") % 17), ["half", "p_size", "third"]).select(key(), r6("half").alias("a"), r6("p_size").alias("b"), r6("third").alias("c")),
     f"with {PART}, u as (select p_partkey, unnest([cast(half as double), cast(p_size as double), cast(p_partkey%17 as double)]) as v from p), m as (select p_partkey, quantile_cont(v,0.5) as m from u group by p_partkey) select p_partkey as id, {r6_sql('half-m')} as a, {r6_sql('p_size-m')} as b, {r6_sql('p_partkey%17-m')} as c from p join m using (p_partkey)",
 )
 
@@ -91,7 +94,7 @@ Q["length_stats"] = (
 def matrix(spark, d):
     t = read(spark, d, "part")
     k, v = F.col("p_partkey"), F.col("p_size")
-    return t.select(KEY, v.cast("double").alias("c1"), F.when(k % 2 == 0, v * 2.0).alias("c2"), F.when(k % 3 == 0, v * 3.0).alias("c3"), F.when(k % 5 != 0, v * 5.0).alias("c4"), F.when(k % 7 != 0, v * 1.0).alias("c5"))
+    return t.select(key(), v.cast("double").alias("c1"), F.when(k % 2 == 0, v * 2.0).alias("c2"), F.when(k % 3 == 0, v * 3.0).alias("c3"), F.when(k % 5 != 0, v * 5.0).alias("c4"), F.when(k % 7 != 0, v * 1.0).alias("c5"))
 
 
 MATRIX = "m as (select p_partkey as id, unnest(range(1,6)) as i, unnest([cast(p_size as double), case when p_partkey%2=0 then p_size*2.0 end, case when p_partkey%3=0 then p_size*3.0 end, case when p_partkey%5<>0 then p_size*5.0 end, case when p_partkey%7<>0 then p_size*1.0 end]) as v from part)"
@@ -103,7 +106,7 @@ Q["interpolate"] = (
 # ---- structure of columns ------------------------------------------------------------------------
 
 Q["split"] = (
-    lambda s, d: K.split(read(s, d, "part").select(KEY, "p_name"), "p_name", "[ _#]", 3),
+    lambda s, d: K.split(read(s, d, "part").select(key(), "p_name"), "p_name", "[ _#]", 3),
     "select p_partkey as id, p_name, " + ", ".join(f"nullif(regexp_split_to_array(p_name, '[ _#]')[{k}], '') as p_name_{k}" for k in (1, 2, 3)) + " from part",
 )
 Q["number"] = (lambda s, d: K.number(read(s, d, "supplier"), ["s_suppkey"], "n").select("s_suppkey", "n"), "select s_suppkey, row_number() over (order by s_suppkey) as n from supplier")
@@ -116,7 +119,7 @@ Q["add_values"] = (lambda s, d: K.add_values(read(s, d, "nation").withColumnRena
 
 # ---- rows ----------------------------------------------------------------------------------------
 
-pick = lambda f: lambda s, d: f(part(s, d)).select(KEY)
+pick = lambda f: lambda s, d: f(part(s, d)).select(key())
 Q["toss_null"] = (pick(lambda t: W.toss_null(t, ["odd", "half"])), f"with {PART} select p_partkey as id from p where not (odd is null or odd in ('.','n/a') or half is null)")
 Q["toss_null_zeros"] = (pick(lambda t: W.toss_null(t, ["half"], True)), f"with {PART} select p_partkey as id from p where half is not null and half<>0")
 Q["toss_duplicate"] = (pick(lambda t: W.toss_duplicates(t, ["p_brand", "p_size"], ["p_partkey"])), "select min(p_partkey) as id from part group by p_brand, p_size")
@@ -125,21 +128,21 @@ Q["below"] = (pick(lambda t: W.toss_below(t, ["odd", "half"], 5)), f"with {PART}
 Q["specific"] = (pick(lambda t: W.toss_values(t, ["p_brand"], ["Brand#1", "Brand#2", "Brand#11"])), "select p_partkey as id from part where not p_brand in ('Brand#1','Brand#2','Brand#11')")
 Q["keep"] = (pick(lambda t: W.keep_values(t, ["odd"], ["1d", "."])), f"with {PART} select p_partkey as id from p where odd in ('1d','.')")
 Q["drop_rows"] = (pick(lambda t: W.drop_rows(t, [1, 2, 3], "p_partkey")), "select p_partkey as id from part where p_partkey not in (1,2,3)")
-Q["length_filter"] = (lambda s, d: W.by_length(read(s, d, "part").withColumns({"start": F.col("p_partkey"), "end": F.col("p_partkey") + F.col("p_size") - 1}), 10, 20).select(KEY), "select p_partkey as id from part where p_size between 10 and 20")
+Q["length_filter"] = (lambda s, d: W.by_length(read(s, d, "part").withColumns({"start": F.col("p_partkey"), "end": F.col("p_partkey") + F.col("p_size") - 1}), 10, 20).select(key()), "select p_partkey as id from part where p_size between 10 and 20")
 Q["skip_sequences"] = (lambda s, d: W.skip_sequences(regions(s, d), "^[FX]").select(F.col("_row").alias("rid")), f"with {RG} select rid from r where not regexp_matches(seq, '^[FX]')")
 Q["sort_value"] = (lambda s, d: K.number(W.sort_value(part(s, d).filter("odd is not null").select("odd").distinct(), "odd").coalesce(1).withColumn("_at", F.monotonically_increasing_id()), ["_at"], "n").select("odd", "n"), f"with {PART}, u as (select distinct odd, num from p where odd is not null) select odd, row_number() over (order by num is null, num, try_cast(nullif(regexp_extract(odd,'^([0-9]+)',1),'') as bigint) nulls last, regexp_extract(odd,'^[0-9]*([^0-9]*)',1), odd) as n from u")
 Q["gsort"] = (
     lambda s, d: K.number(W.genomic_sort(regions(s, d), ["F", "O", "P"]).coalesce(1).withColumn("_at", F.monotonically_increasing_id()), ["_at"], "n").select(F.col("_row").alias("rid"), "n"),
     f"with {RG} select rid, row_number() over (order by seq, s, e) as n from r",
 )
-Q["unique_names"] = (lambda s, d: W.numbered_names(read(s, d, "part").select(KEY, "p_brand"), "p_brand", ["id"]), "with n as (select p_partkey as id, p_brand, row_number() over (partition by p_brand order by p_partkey)-1 as k from part) select id, case when k=0 then p_brand else p_brand || '.' || k end as p_brand from n")
-Q["split_parts"] = (lambda s, d: W.split_parts(read(s, d, "part").select(KEY, "p_brand"), "p_brand", ["id"], 7).groupBy("p_brand", "part").agg(F.count("*").alias("n")), "with n as (select p_brand, ceil(row_number() over (partition by p_brand order by p_partkey)/7.0) as part from part) select p_brand, cast(part as integer) as part, count(*) as n from n group by all")
+Q["unique_names"] = (lambda s, d: W.numbered_names(read(s, d, "part").select(key(), "p_brand"), "p_brand", ["id"]), "with n as (select p_partkey as id, p_brand, row_number() over (partition by p_brand order by p_partkey)-1 as k from part) select id, case when k=0 then p_brand else p_brand || '.' || k end as p_brand from n")
+Q["split_parts"] = (lambda s, d: W.split_parts(read(s, d, "part").select(key(), "p_brand"), "p_brand", ["id"], 7).groupBy("p_brand", "part").agg(F.count("*").alias("n")), "with n as (select p_brand, ceil(row_number() over (partition by p_brand order by p_partkey)/7.0) as part from part) select p_brand, cast(part as integer) as part, count(*) as n from n group by all")
 Q["split_rows"] = (lambda s, d: W.split_rows(K.number(read(s, d, "part"), ["p_partkey"], "_row"), 3).groupBy("part").agg(F.count("*").alias("n")), "with n as (select row_number() over (order by p_partkey) as k, count(*) over () as t from part) select cast(least((k-1)//(t//3)+1, 3) as integer) as part, count(*) as n from n group by 1")
 Q["split_stats"] = (lambda s, d: read(s, d, "part").groupBy("p_brand").agg(F.count("*").alias("n")), "select p_brand, count(*) as n from part group by p_brand")
 Q["join_rows"] = (lambda s, d: W.concatenate(read(s, d, "nation").select("n_nationkey", "n_name"), read(s, d, "region").select("r_regionkey", "r_name")), "select n_nationkey, n_name from nation union all select r_regionkey, r_name from region")
 Q["flag_filter"] = (lambda s, d: (lambda t: W.by_flags(t, 0x400, 16).select("qname", "pos"))(alignments(s, d)), "select cast(l_partkey as varchar) as qname, l_orderkey*10+l_linenumber-1 as pos from lineitem where l_linenumber%2=1 and l_linenumber*8>=16")
 Q["attribute_filter"] = (
-    lambda s, d: W.by_attribute(read(s, d, "part").withColumn("attributes", F.create_map(F.lit("brand"), "p_brand")), "brand", "BRAND#1").select(KEY),
+    lambda s, d: W.by_attribute(read(s, d, "part").withColumn("attributes", F.create_map(F.lit("brand"), "p_brand")), "brand", "BRAND#1").select(key()),
     "select p_partkey as id from part where regexp_matches(p_brand, '(?i)BRAND#1')",
 )
 
@@ -153,7 +156,7 @@ Q["merge_first_match"] = (
 
 
 def by_coordinate(spark, d):
-    left = read(spark, d, "part").select(KEY, F.col("p_brand").alias("seq_id"), (F.col("p_size") + F.col("p_partkey") % 2).cast("long").alias("start"))
+    left = read(spark, d, "part").select(key(), F.col("p_brand").alias("seq_id"), (F.col("p_size") + F.col("p_partkey") % 2).cast("long").alias("start"))
     right = read(spark, d, "part").select(F.col("p_partkey").alias("at"), F.col("p_brand").alias("seq_id"), F.col("p_size").cast("long").alias("start"), "p_name")
     return M.merge_coordinate(left, right, ["p_name"], ["at"]).select("id", "p_name")
 
@@ -179,11 +182,11 @@ Q["attach_features"] = (lambda s, d: M.attach(read(s, d, "customer").select(F.co
 # ---- text ----------------------------------------------------------------------------------------
 
 Q["revcomp"] = (lambda s, d: read(s, d, "documents").select("doc_id", V.reverse_complement(F.translate("text", "\n", " ")).alias("v")), "select doc_id, reverse(translate(translate(text, chr(10), ' '), 'gatcGATC', 'ctagCTAG')) as v from documents where reverse('é') is not null")
-Q["fasta_wrap"] = (lambda s, d: read(s, d, "part").select(KEY, S.fasta_record("p_name", "p_type", 4).alias("v")), "select p_partkey as id, '>' || p_name || chr(10) || regexp_replace(regexp_replace(p_type, '(.{4})', '\\1' || chr(10), 'g'), chr(10) || '$', '') as v from part")
-Q["url_encode"] = (lambda s, d: read(s, d, "part").select(KEY, V.url_encode(F.concat("p_type", F.lit("; a=1,2&3%"))).alias("v")), "select p_partkey as id, replace(p_type, ' ', '%20') || '%3B%20a%3D1%2C2%263%25' as v from part")
-Q["url_decode"] = (lambda s, d: read(s, d, "part").select(KEY, V.url_decode(F.concat(F.lit("%41+%3B"), "p_size")).alias("v")), "select p_partkey as id, 'A ;' || p_size as v from part")
+Q["fasta_wrap"] = (lambda s, d: read(s, d, "part").select(key(), S.fasta_record("p_name", "p_type", 4).alias("v")), "select p_partkey as id, '>' || p_name || chr(10) || regexp_replace(regexp_replace(p_type, '(.{4})', '\\1' || chr(10), 'g'), chr(10) || '$', '') as v from part")
+Q["url_encode"] = (lambda s, d: read(s, d, "part").select(key(), V.url_encode(F.concat("p_type", F.lit("; a=1,2&3%"))).alias("v")), "select p_partkey as id, replace(p_type, ' ', '%20') || '%3B%20a%3D1%2C2%263%25' as v from part")
+Q["url_decode"] = (lambda s, d: read(s, d, "part").select(key(), V.url_decode(F.concat(F.lit("%41+%3B"), "p_size")).alias("v")), "select p_partkey as id, 'A ;' || p_size as v from part")
 Q["gff_attributes"] = (
-    lambda s, d: read(s, d, "part").select(KEY, V.write_attributes(V.attributes(F.concat(F.lit(" size="), "p_size", F.lit("; Name=n1 ;ID=x"), "p_partkey", F.lit(";;size="), F.col("p_size") + 1))).alias("v")),
+    lambda s, d: read(s, d, "part").select(key(), V.write_attributes(V.attributes(F.concat(F.lit(" size="), "p_size", F.lit("; Name=n1 ;ID=x"), "p_partkey", F.lit(";;size="), F.col("p_size") + 1))).alias("v")),
     "select p_partkey as id, 'ID=x' || p_partkey || ';Name=n1;size=' || (p_size+1) as v from part",
 )
 Q["props_map"] = (
