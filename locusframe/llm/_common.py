@@ -94,7 +94,8 @@ def pack(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_BYTES) ->
     """Rows (batch, ids, sizes, blob): documents in compressed batches of about size bytes of text.
 
     The number of a batch holds the number of the input partition, so a repeated task makes the same
-    batches again. A null text is empty; ids keep their type and may be null.
+    batches again: df has to be a table or a checkpoint, which give the same rows in the same order each
+    time. A null text is empty; ids keep their type and may be null.
     """
     kind = df.schema[id_col].dataType
     schema = T.StructType([T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("blob", T.BinaryType())])
