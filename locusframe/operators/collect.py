@@ -110,6 +110,44 @@ def position_scores(regions: DataFrame, signal: DataFrame, key: str = "_row", st
     return pairs.groupBy(key, "pos").agg(reduce(method, F.col("r_score"), F.lit(True), F.col("r_name")).alias("score"))
 
 
+def weighted_score(regions: DataFrame, signal: DataFrame, method: str = "mean", key: str = "_row", width: int | None = None) -> DataFrame:
+    """Per-base mean, min, max, sum or stddev (of all) of a signal over regions, without spelling out bases: each row weighs as much of it as lies inside."""
+    pairs = pairs_of(regions, signal, key, "all", width)
+    w = F.least("end", "r_end") - F.greatest("start", "r_start") + 1
+    v = F.col("r_score")
+    n, mean = F.sum(w), F.sum(w * v) / F.sum(w)
+    value = {"mean": mean, "min": F.min(v), "max": F.max(v), "sum": F.sum(w * v), "stddev": F.sqrt(F.greatest(F.sum(w * v * v) / n - mean * mean, F.lit(0.0)))}[method]
+    found = pairs.groupBy(key).agg(value.alias(method))
+    out = regions.join(found, key, "left")
+    return out.withColumn(method, filled(method, F.col(method)))
+
+
+def alignment_count(regions: DataFrame, alignments: DataFrame, key: str = "_row", strand: str = "all", method: str = "count", width: int | None = None) -> DataFrame:
+    """Alignments (as a signal) by region: those of which one end at least is inside; one that spans the region isn't counted.
+
+    pcount: both ends; ncount: distinct names.
+    """
+    pairs = pairs_of(regions, alignments, key, strand, width)
+    first, last = F.col("r_start").between(F.col("start"), F.col("end")), F.col("r_end").between(F.col("start"), F.col("end"))
+    own = pairs.filter(first & last if method == "pcount" else first | last)
+    found = own.groupBy(key).agg((F.count_distinct("r_name") if method == "ncount" else F.count("*")).alias(method))
+    return regions.join(found, key, "left").withColumn(method, F.coalesce(method, F.lit(0)))
+
+
+def spliced_positions(ex: DataFrame, signal: DataFrame, width: int | None = None) -> DataFrame:
+    """(transcript_id, pos, score): middles of a signal on exons (with their spliced offset), counted from the 5 prime end without introns."""
+    pairs = overlap_join(ex.select("transcript_id", "spliced", *INTERVAL), signal.select(*INTERVAL, "score"), width)
+    point = F.floor((F.col("r_start") + F.col("r_end")) / 2).cast("long")
+    inside = pairs.withColumn("_p", point).filter("_p between start and end")
+    place = F.col("spliced") + F.when(F.col("strand") >= 0, F.col("_p") - F.col("start")).otherwise(F.col("end") - F.col("_p"))
+    return inside.groupBy("transcript_id", place.alias("pos")).agg(F.avg("r_score").alias("score"))
+
+
+def each_region(regions: DataFrame, signal: DataFrame, function, schema: str, key: str = "_row", width: int | None = None) -> DataFrame:
+    """A function of one region's pairs, as pandas: for what no expression says. A region's pairs are in memory together."""
+    return pairs_of(regions, signal, key, "all", width).groupBy(key).applyInPandas(function, schema)
+
+
 def avoid(positions: DataFrame, regions: DataFrame, others: DataFrame, key: str = "_row", width: int | None = None) -> DataFrame:
     """Positions that no other feature than the region itself covers; features are told apart by name."""
     points = positions.join(regions.select(key, "seq_id", F.col("name").alias("own")), key).withColumns({"start": F.col("pos"), "end": F.col("pos"), "strand": F.lit(0)})

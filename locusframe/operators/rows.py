@@ -91,6 +91,14 @@ def sort_value(df: DataFrame, name: str, descending: bool = False) -> DataFrame:
     return df.orderBy(num(name).isNull(), turn(num(name)), turn(lead), turn(text), turn(tail), turn(c))
 
 
+def sort_mean(df: DataFrame, names: list[str], how: str = "mean", descending: bool = True) -> DataFrame:
+    """By a statistic over several columns of a row."""
+    from .columns import combine
+
+    value = combine(names, how)
+    return df.orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last())
+
+
 #: Sex and mitochondrial sequences, in order.
 NAMED = ("x", "y", "z", "w", "m", "mt", "mito", "mitochondrion")
 ROMAN = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import collect as C
 from ..operators import genes as G
 from ..sources import sinks as S
-from .data import EX, gene_model
+from .data import EX, gene_model, r6, r6_sql
 
 Q: dict[str, tuple] = {}
 EXONS = "select tid as transcript_id, s as start, e as \"end\""
@@ -62,6 +63,20 @@ Q["unique_regions"] = (parts_of(lambda tx, p: G.unique_regions(tx.select("gene_i
 Q["spliced_offsets"] = (parts_of(lambda tx, p: place(G.spliced_offsets(G.exons(p)), "spliced")), f"with {EX} {EXONS}, cast(coalesce(sum(e-s+1) over (partition by tid order by case when st>=0 then s else -e end rows between unbounded preceding and 1 preceding),0) as bigint) as spliced from ex")
 
 
+def spliced(spark, d):
+    _, parts = gene_model(spark, d)
+    own = parts.filter("type = 'exon'").withColumn("n", F.col("end") - F.col("start"))
+    scores = own.select("seq_id", F.col("start"), F.col("end"), F.col("strand"), F.col("n").cast("double").alias("score"), F.col("transcript_id").alias("name")).filter("end % 7 = 0")
+    found = C.spliced_positions(G.spliced_offsets(G.exons(parts)).filter("transcript_id like '%1.A'"), scores, width=64)
+    return found.select("transcript_id", "pos", r6("score").alias("score"))
+
+
+Q["spliced_positions"] = (
+    spliced,
+    f"with {EX}, x as (select *, coalesce(sum(e-s+1) over (partition by tid order by case when st>=0 then s else -e end rows between unbounded preceding and 1 preceding),0) as sp from ex), y as (select cast(floor((s+e)/2.0) as bigint) as p, e-s as n from ex where e%7=0) select tid as transcript_id, cast(sp+case when st>=0 then p-s else e-p end as bigint) as pos, {r6_sql('avg(n)')} as score from x join y on p between s and e where tid like '%1.A' group by all",
+)
+
+
 def listed(tx, p):
     bounds = G.cds_bounds(p).select("transcript_id", "cds_start", "cds_stop")
     return S.exon_lists(tx, G.exons(p)).join(bounds, "transcript_id", "left").withColumn("gene_name", F.col("gene_id").cast("string"))

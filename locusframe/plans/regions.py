@@ -209,3 +209,30 @@ CNT = f"{RG}, c as (select r.rid, r.e-r.s+1 as n, count(g.s) as k from r left jo
 Q["fpkm"] = (lambda s, d: C.fpkm(counted(s, d)).select(F.col("_row").alias("rid"), r6("fpkm").alias("fpkm")), f"with {CNT} select rid, {r6_sql('k*1e9/(n*(select sum(k) from c))')} as fpkm from c")
 Q["tpm"] = (lambda s, d: C.tpm(counted(s, d)).select(F.col("_row").alias("rid"), r6("tpm").alias("tpm")), f"with {CNT} select rid, {r6_sql('(k/(n/1000.0))/((select sum(k/(n/1000.0)) from c)/1e6)')} as tpm from c")
 Q["discard_low"] = (lambda s, d: C.discard_low(counted(s, d), ["count"], 8).select(F.col("_row").alias("rid"), F.col("count").alias("n_scores")), f"with {CNT} select rid, k as n_scores from c where k>=8")
+
+# ---- by base and by read -------------------------------------------------------------------------
+
+OV = "(least(r.e,g.e)-greatest(r.s,g.s)+1)"
+for how, x in {"mean": f"sum({OV}*sc)/sum({OV})", "sum": f"coalesce(sum({OV}*sc),0)", "max": "max(sc)"}.items():
+    Q[f"weighted_{how}"] = (
+        lambda s, d, h=how: C.weighted_score(regions(s, d), signal(s, d), h, width=WIDTH).select(F.col("_row").alias("rid"), r6(h).alias("value")),
+        f"with {RG} select r.rid, {r6_sql(x)} as value from r left join g on {MEET} group by r.rid",
+    )
+for how, x in {"count": "count(g.s)", "ncount": "count(distinct nm)"}.items():
+    Q[f"alignment_{how}"] = (
+        lambda s, d, h=how: C.alignment_count(regions(s, d), signal(s, d), method=h, width=WIDTH).select(F.col("_row").alias("rid"), F.col(h).alias("value")),
+        f"with {RG} select r.rid, {x} as value from r left join g on {MEET} and (g.s between r.s and r.e or g.e between r.s and r.e) group by r.rid",
+    )
+Q["alignment_pcount"] = (
+    lambda s, d: C.alignment_count(regions(s, d), signal(s, d), method="pcount", width=WIDTH).select(F.col("_row").alias("rid"), F.col("pcount").alias("value")),
+    f"with {RG} select r.rid, count(g.s) as value from r left join g on {MEET} and g.s between r.s and r.e and g.e between r.s and r.e group by r.rid",
+)
+
+
+def span_of(pdf):
+    import pandas as pd
+
+    return pd.DataFrame({"rid": [pdf["_row"].iloc[0]], "value": [int(pdf["r_end"].max() - pdf["r_start"].min() + 1)]})
+
+
+Q["each_region"] = (lambda s, d: C.each_region(regions(s, d).filter("_row % 50 = 0"), signal(s, d), span_of, "rid long, value long", width=WIDTH), f"with {RG} select rid, max(g.e)-min(g.s)+1 as value from r join g on {MEET} where rid%50=0 group by rid")
