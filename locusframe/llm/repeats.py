@@ -36,7 +36,7 @@ WIDTH, GRAM = 50, 16
 #: Documents with an anchor beyond which its strings are dealt by their own hashes.
 HOT = 2_000
 #: Window starts that are worked on together.
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 #: Bytes of a context, at most: a string for each place of its anchor.
 CONTEXT = 2 * WIDTH - GRAM
 NO_ID = np.iinfo(np.int64).max
