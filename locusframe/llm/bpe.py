@@ -31,6 +31,8 @@ from ._words import bucket, common_words
 
 TOKENIZER = "byte_bpe_50k.json"
 
+#: Words that are encoded together.
+JOINED = 200
 #: Text of a batch: the larger, the fewer times a rare word is asked for.
 BATCH = 10_000_000
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -74,13 +76,39 @@ class Vocabulary:
             self.pieces[k] = bytes(letters[c] for c in piece)
         for piece, k in self.specials.items():
             self.pieces[k] = piece.encode()
+        self.sizes = np.array([len(p) for p in self.pieces])
 
     def encode(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit integers."""
-        return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch(words, add_special_tokens=False)]
+        """The ids of each word, as little-endian unsigned 32-bit integers.
+
+        Words that start with a space that stands alone are encoded many at a time, as one text that is cut before
+        each of them; the bytes of the pieces tell whose they are.
+        """
+        out: list[bytes] = [b""] * len(words)
+        plain = [k for k, w in enumerate(words) if len(w) > 1 and w[0] == " " and not w[1].isspace() and not w[-1].isspace()]
+        for lo in range(0, len(plain), JOINED):
+            part = plain[lo : lo + JOINED]
+            ids = np.array(self.encoder.encode("".join([words[k] for k in part]), add_special_tokens=False).ids, "<u4")
+            ends = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(words[k].encode()) for k in part])) + 1
+            line = ids.tobytes()
+            for k, a, b in zip(part, [0, *(4 * ends[:-1]).tolist()], (4 * ends).tolist()):
+                out[k] = line[a:b]
+        rest = sorted(set(range(len(words))) - set(plain))
+        for k, e in zip(rest, self.encoder.encode_batch([words[k] for k in rest], add_special_tokens=False)):
+            out[k] = np.array(e.ids, "<u4").tobytes()
+        return out
+
+    def decoded(self, ids: bytes) -> bytes:
+        """The UTF-8 of the text; what is none shows as replacement characters."""
+        raw = b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        try:
+            raw.decode()
+        except UnicodeDecodeError:
+            raw = raw.decode("utf-8", "replace").encode()
+        return raw
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return self.decoded(ids).decode()
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -95,9 +123,9 @@ def vocabulary(path: str) -> Vocabulary:
 #: What tokenize() can return of a text.
 COLUMNS = {
     "ids": (T.BinaryType(), lambda ids, text: ids),
-    "decoded": (T.StringType(), lambda ids, text: text),
+    "decoded": (T.StringType(), lambda ids, text: text.decode()),
     "ids_sha256": (T.StringType(), lambda ids, text: hashlib.sha256(ids).hexdigest()),
-    "decoded_sha256": (T.StringType(), lambda ids, text: hashlib.sha256(text.encode()).hexdigest()),
+    "decoded_sha256": (T.StringType(), lambda ids, text: hashlib.sha256(text).hexdigest()),
 }
 
 
@@ -172,10 +200,10 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                 values = np.frombuffer(raw, f"<u{raw[0]}", -1, 1 + 4 * n).astype("<u4").tobytes()
                 ends = 4 * np.cumsum([0, *counts])
                 ids.update(zip(ws, (values[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist()))))
-            first, rest = common.value, ids
+            first, rest = common.value.get, ids
             for name, text in zip(names, data):
-                line = b"".join([first[w] if w in first else rest[w] for w in split(text.decode())])
-                text = voc.decode(line)
+                line = b"".join([first(w) or rest[w] for w in split(text.decode())])
+                text = voc.decoded(line)
                 for column, value in zip(out, (name, len(line) // 4, *(make(line, text) for make in makers))):
                     column.append(value)
         pa.default_memory_pool().release_unused()
