@@ -1,0 +1 @@
+"""Operators on intervals, tables, gene models and alignments."""

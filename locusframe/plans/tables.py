@@ -10,7 +10,7 @@ from ..operators import columns as K
 from ..operators import merge as M
 from ..operators import rows as W
 from ..sources import sinks as S
-from .data import RG, alignments, r6, r6_sql, read, regions, signal
+from .data import RG, alignments, r6, r6_sql, read, regions, shared_folder, signal
 
 Q: dict[str, tuple] = {}
 
@@ -208,11 +208,9 @@ Q["same_position"] = (lambda s, d: S.combined(signal(s, d), "max").select("seq_i
 
 def written_bed(spark, d):
     """A BED file written and read again."""
-    import tempfile
-
     from ..sources.annotation import bed
 
-    folder = tempfile.mkdtemp() + "/x.bed"
+    folder = shared_folder(spark) + "/x.bed"
     S.write_lines(regions(spark, d).withColumn("score", F.lit(5)).select(S.bed_line(6).alias("line")), folder)
     return bed(spark, folder).select("seq_id", "start", "end", "strand", "name")
 

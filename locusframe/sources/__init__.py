@@ -1,0 +1 @@
+"""Files read and written."""

@@ -1,0 +1 @@
+"""Rows that keep coming."""
