@@ -42,13 +42,18 @@ ALONE = re.compile(rf"(?<=[^{SPACE}]) (?=[^{SPACE}])")
 def split(text: str) -> list[str]:
     """The words of a text: cut before each space that stands alone, the space being part of the word.
 
-    Merges never cross such a cut, nor does a special token hold a space.
+    Merges never cross such a cut, nor does a special token hold a space. As all words but the first start with a
+    space, it is left out; the first has one in front instead. spoken() undoes that.
     """
     pieces = text.split(" ")
     if not all(pieces) or list(map(str.strip, pieces)) != pieces:  # white space beside some space
         pieces = ALONE.split(text)
-    first, *rest = pieces
-    return [first, *[" " + w for w in rest]] if text else []
+    pieces[0] = " " + pieces[0]
+    return pieces if text else []
+
+
+def spoken(word: str) -> str:
+    return word[1:] if word[0] == " " else " " + word
 
 
 def tokenizer_file(name: str = TOKENIZER) -> str:
@@ -76,7 +81,10 @@ class Vocabulary:
             self.pieces[k] = bytes(letters[c] for c in piece)
         for piece, k in self.specials.items():
             self.pieces[k] = piece.encode()
+        # the table of pieces as one array, to be looked up for many ids at once
         self.sizes = np.array([len(p) for p in self.pieces])
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
 
     def encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as little-endian unsigned 32-bit integers.
@@ -100,7 +108,13 @@ class Vocabulary:
 
     def decoded(self, ids: bytes) -> bytes:
         """The UTF-8 of the text; what is none shows as replacement characters."""
-        raw = b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, "<u4").tolist()))
+        found, out = np.frombuffer(ids, "<u4"), []
+        for lo in range(0, len(found), 1_000_000):
+            part = found[lo : lo + 1_000_000]
+            n = self.sizes[part]
+            ends = np.cumsum(n)
+            out.append(self.flat[np.repeat(self.starts[part] - (ends - n), n) + np.arange(ends[-1])].tobytes())
+        raw = b"".join(out)
         try:
             raw.decode()
         except UnicodeDecodeError:
@@ -136,7 +150,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     n_buckets = max(64, 4 * parts(docs))
 
     names = sorted(r["word"] for r in common_words(docs, text_col, split).select("word").collect())
-    common = sc.broadcast(dict(zip(names, vocabulary(path).encode(names))))
+    common = sc.broadcast(dict(zip(names, vocabulary(path).encode(list(map(spoken, names))))))
     packed = pack(docs, id_col, text_col, BATCH)
 
     def rare(data: list[bytes]) -> dict[int, list[str]]:
@@ -168,7 +182,7 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
         ids: dict[bytes, bytes] = {}
         for lo in range(0, len(distinct), 10_000):
             part = distinct[lo : lo + 10_000]
-            ids.update(zip(part, vocabulary(path).encode([w.decode() for w in part])))
+            ids.update(zip(part, vocabulary(path).encode([spoken(w.decode()) for w in part])))
         blobs = []
         for ws in lists:
             own = [ids[w] for w in ws]
