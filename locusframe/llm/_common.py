@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+#: Bytes of a batch on its way to Python, and rows that are worked on together: what bounds a worker's memory.
+ARROW_BYTES, ROWS = 8_000_000, 1_000
 #: Bytes of text in a packed batch; a longer document is a batch of its own.
 BATCH_BYTES = 4_000_000
 
@@ -21,6 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends batches of at most ARROW_BYTES to Python from now on."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(filter(str.isdigit, conf.get(key, str(1 << 26))))) > ARROW_BYTES:
+        conf.set(key, ARROW_BYTES)
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df, written to the folder that all executors share, without its lineage."""
     sc = df.sparkSession.sparkContext
@@ -55,13 +65,13 @@ def annotate(df: DataFrame, inputs: list[str], make: Callable, fields: T.StructT
     to one list of values for each field. df's own columns may have any names: both structs keep
     them apart. Rows pass through as Arrow data, untouched.
     """
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    rows = small_batches(df).select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
     at = [df.columns.index(c) for c in inputs]
     schema = T.StructType([rows.schema["row"], T.StructField("out", fields, False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, len(b), ROWS)):
             row = batch.column(0)
             found = work(*[row.field(i) for i in at])
             arrays = [arrow_list(v, f.dataType) for v, f in zip(found, fields, strict=True)]
@@ -102,17 +112,26 @@ def pack(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_BYTES) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
+        ids: list = []
+        data: list[bytes] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            columns = [[number], [ids], [[len(x) for x in data]], [squeeze(b"".join(data))]]
+            return pa.RecordBatch.from_arrays([arrow_list(c, f.dataType) for c, f in zip(columns, schema, strict=True)], names=schema.names)
+
         for batch in batches:
-            data, ids = octets(batch.column(1)), batch.column(0).to_pylist()
-            ends = np.cumsum([len(x) for x in data])
-            lo = 0
-            while lo < len(data):
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, "right")))
-                columns = [[number], [ids[lo:hi]], [[len(x) for x in data[lo:hi]]], [squeeze(b"".join(data[lo:hi]))]]
-                yield pa.RecordBatch.from_arrays([arrow_list(c, f.dataType) for c, f in zip(columns, schema, strict=True)], names=schema.names)
-                number, lo = number + 1, hi
-
-    return df.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+            for name, text in zip(batch.column(0).to_pylist(), octets(batch.column(1))):
+                if data and held + len(text) > size:
+                    yield out()
+                    number, ids, data, held = number + 1, [], [], 0
+                ids.append(name)
+                data.append(text)
+                held += len(text)
+        if data:
+            yield out()
+
+    return small_batches(df).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
 def unpack(sizes: list[int], blob: bytes) -> list[bytes]:
