@@ -10,6 +10,9 @@ fingerprints is dealt on by blocks of its other bits, by the same argument. In e
 Trees belong to the shard of a key and are grown where the shard is: sending all of them to every
 executor, or fingerprints to the driver, would grow with the corpus.
 
+near_copies() has another rule: a Jaccard similarity over 5-word shingles of 0.8 at least. Fingerprints
+of such pairs differ in about ten bits, and often in more, so no radius finds them all; prefixes do.
+
 Cases: null and wordless texts have fingerprint zero and are linked like any other; repeated rows
 each get a row; a null id takes part in links, but is no component's id unless nothing else is.
 """
@@ -17,6 +20,7 @@ each get a row; a null id takes part in links, but is no component's id unless n
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import annotate, checkpointed, octets, table
+from ._common import ROWS, annotate, checkpointed, octets, small_batches, table
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
+#: Words of a shingle and least similarity (as a fraction) of near copies.
+WORDS, SIMILAR = 5, (4, 5)
+#: Documents sampled for common shingles, how many of them have one, and how many shingles that may be.
+SAMPLE, OFTEN, COMMON = 2_000, 4, 500_000
+#: Parities kept of a set of shingles.
+BITS = 512
 #: First bit and length of the five blocks of a fingerprint.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: A key with more distinct fingerprints than this is dealt on by its other bits.
@@ -204,12 +214,196 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(names, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, that of the smallest id, with all its columns.
+def hash_set(text: bytes, size: int) -> np.ndarray:
+    """Distinct hashes of the shingles, in order."""
+    own = shingles(text, size)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in own), np.uint64, len(own)).view(np.int64))
+
+
+def parities(own: np.ndarray, n: int = BITS) -> bytes:
+    return np.packbits(np.bincount(own & (n - 1), minlength=n) & 1).tobytes()
+
+
+def within(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are known; np.isin would sort all the known ones each time."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def is_similar(common: int, a: int, b: int) -> bool:
+    """Whether sets of a and b members, common ones among them, have a Jaccard similarity of SIMILAR at least."""
+    p, q = SIMILAR
+    return q * common >= p * (a + b - common)
+
+
+def common_hashes(docs: DataFrame, size: int) -> np.ndarray:
+    """Hashes of shingles that many of a sample of documents have. Which they are decides the work to do, not what is found."""
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in octets(batch.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(hash_set(text, size), pa.int64())], names=["h"])
+
+    found = docs.select("text").sample(share, 5).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    rows = found.orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    return np.sort(np.array([r["h"] for r in rows], np.int64))
+
+
+def hashed(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, fp, hashes, bits): the set of shingles, common ones last, a hash of the set, and for each of BITS whether an odd number of members has it."""
+    given = docs.sparkSession.sparkContext.broadcast(common_hashes(docs, size))
+
+    def work(column):
+        prints, sets, bits = [], [], []
+        for text in octets(column):
+            own = hash_set(text, size)
+            prints.append(signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)))
+            bits.append(parities(own))
+            last = within(own, given.value)
+            sets.append(np.concatenate([own[~last], own[last]]))
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        return prints, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]), pa.int64())), bits
+
+    fields = T.StructType([T.StructField("fp", T.LongType(), False), T.StructField("hashes", T.ArrayType(T.LongType()), False), T.StructField("bits", T.BinaryType(), False)])
+    found = annotate(docs, ["text"], lambda: work, fields)
+    return found.select(F.col("row.doc_id").alias("doc_id"), F.col("out.fp").alias("fp"), F.col("out.hashes").alias("hashes"), F.col("out.bits").alias("bits"))
+
+
+def prefix(n: int) -> int:
+    """Of two similar sets in one order, one's first so many members hold one of the other's."""
+    p, q = SIMILAR
+    return n - (p * n + q - 1) // q + 1 if n else 0
+
+
+def may_be_similar(x: int, a: int, y: int, b: int) -> bool:
+    """Never false for similar sets of a and b members: their bits x and y differ in no more places than the sets in members."""
+    p, q = SIMILAR
+    return q * min(a, b) >= p * max(a, b) and (p + q) * (x ^ y).bit_count() <= (q - p) * (a + b)
+
+
+def candidate_links(rows: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Links that join whatever may be similar among sets (fp, size, bits)."""
+    found: list[tuple[int, int]] = []
+    groups: list[list[tuple[int, int, int]]] = []
+    for row in rows:
+        fp, size, bits = row
+        own, rest = [row], []
+        for group in groups:
+            other = next((o for o in group if may_be_similar(bits, size, o[2], o[1])), None)
+            if other:
+                found.append((fp, other[0]))
+                own, group = (own, group) if len(own) > len(group) else (group, own)
+                own.extend(group)
+            else:
+                rest.append(group)
+        groups = [*rest, own]
+    return found
+
+
+def similar_groups(sets: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
+    """(fp, root) for each of the sets (fp, hashes): the smallest that it can reach over similar ones.
+
+    All pairs with a common member of their prefixes are compared, unless they are joined already.
+    """
+    up: dict[int, int] = {}
+    members: dict[int, np.ndarray] = {}
+    bits: dict[int, int] = {}
+    places: dict[int, dict[int, list[int]]] = {}  # member of several prefixes -> root -> sets
+    first, counts = np.unique(np.concatenate([h[: prefix(len(h))] for _, h in sets]), return_counts=True)
+    shared = first[counts > 1]
+
+    def root(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for fp, hashes in sets:
+        up[fp], own, tried = fp, np.sort(hashes), set()
+        members[fp], bits[fp] = own, int.from_bytes(parities(own, 16 * BITS))  # more of them, for long texts
+        head = hashes[: prefix(len(hashes))]
+        for h in head[within(head, shared)].tolist():
+            groups = places.setdefault(h, {})
+            for r in list(groups):
+                if (now := root(r)) != r:
+                    groups.setdefault(now, []).extend(groups.pop(r))
+            for r, others in groups.items():
+                if root(r) == root(fp):
+                    continue
+                for k in others:
+                    if k not in tried:
+                        tried.add(k)
+                        other = members[k]
+                        if may_be_similar(bits[fp], len(own), bits[k], len(other)) and is_similar(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)):
+                            a, b = root(fp), root(k)
+                            up[max(a, b)] = min(a, b)
+                            break
+            groups.setdefault(root(fp), []).append(fp)
+    return [(x, root(x)) for x in up]
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for lo in range(0, len(batch), ROWS):
+            # lists as arrays of their own: objects would take many times the memory
+            columns = [[x.values.to_numpy(zero_copy_only=False).copy() for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in batch.slice(lo, ROWS).columns]
+            yield from zip(*columns)
+
+
+def packed(found: Iterator[list[tuple[int, int]]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The pairs of many lists in batches of some size."""
+    held: list[tuple[int, int]] = []
+    for pairs in chain(found, [None]):
+        held += pairs or []
+        if held and (pairs is None or len(held) > 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held)], names=names)
+            held = []
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
+    """(doc_id, fp, component_id) for each document: groups by links of a Jaccard similarity of SIMILAR at least, over the sets of shingles.
+
+    No such pair is missed: similar sets share a member of their prefixes, whatever order the members
+    have. Sets that share one and whose bits don't rule it out are candidates; each component of
+    candidates is compared where it lies.
+    """
+    rows = checkpointed(hashed(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), size).withColumn("n", F.monotonically_increasing_id()))
+    p, q = SIMILAR
+    many = F.size("hashes")
+    first = many - F.floor((p * many + q - 1) / q).cast("int") + 1
+    keys = rows.filter(many > 0).select("fp", F.explode(F.slice("hashes", 1, first)).alias("h"))
+    shared = keys.groupBy("h").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).filter("m < x")
+    sizes = rows.select("fp", many.alias("size"), "bits").dropDuplicates(["fp"])
+    met = keys.join(shared.select("h"), "h").distinct().join(sizes, "fp").select("h", "fp", "size", "bits")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = groupby(unpacked(batches), lambda r: r[0])
+        return packed((candidate_links([(fp, size, int.from_bytes(bits)) for _, fp, size, bits in group]) for _, group in groups), ["a", "b"])
+
+    links = small_batches(met.repartition(F.col("h")).sortWithinPartitions("h", "fp")).mapInArrow(link, "a long, b long")
+    candidates = components(links)
+    whole = candidates.union(candidates.select("root", "root")).distinct().toDF("fp", "part")
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))  # exact copies count once
+    own = rows.select("n", "hashes").join(distinct.join(whole, "fp").select("n", "fp", "part"), "n").select("part", "fp", "hashes")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return packed((similar_groups([(fp, hashes) for _, fp, hashes in part]) for _, part in groupby(unpacked(batches), lambda r: r[0])), ["node", "root"])
+
+    roots = small_batches(own.repartition(F.col("part")).sortWithinPartitions("part", "fp")).mapInArrow(run, "node long, root long")
+    grouped = checkpointed(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
+    return rows.select("doc_id", "fp").join(names, "fp").select("doc_id", "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
+    """One document of each group that find gives, that of the smallest id, with all its columns.
 
     Rows that repeat the kept id go to one of them; with no id at all nothing can be told apart and all such rows stay.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    found = find(docs, id_col, text_col)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     same = F.col(f"`{id_col}`") == F.col("_kept_id")
     kept_rows = docs.join(kept, same, "left_semi")

@@ -404,6 +404,35 @@ def test_one_of_each_group_stays(spark):
     assert simhash.deduplicate(twice).count() == len(kept) + 1
 
 
+def plain_copies(texts):
+    sets = [set(simhash.shingles((t or "").encode(), 5)) for t in texts]
+    up = list(range(len(texts)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b) and up[i] != up[j]:
+                lo, hi = sorted((up[i], up[j]))
+                up = [lo if x == hi else x for x in up]
+    return up
+
+
+def test_near_copies_are_all_that_are_similar(spark):
+    rng = random.Random(3)
+    texts = corpus()
+    for k in range(12):
+        words = [f"w{k}x{rng.randint(0, 999)}" for _ in range(rng.choice((5, 12, 60, 150)))]
+        for _ in range(8):
+            own = list(words)
+            for _ in range(rng.randint(0, max(1, len(own) // 40))):
+                own[rng.randrange(len(own))] = rng.choice("abcdef")
+            texts.append("one line that is common to very many of the documents " * (k % 2) + " ".join(own))
+    groups = plain_copies(texts)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    assert [found[k] for k in range(len(texts))] == groups
+    kept = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs_of(spark, texts), "").collect())
+    assert kept == sorted(set(groups)) and len(kept) < len(set(plain_components([plain_print(t) for t in texts])))
+    assert simhash.near_copies(docs_of(spark, [])).count() == 0
+
+
 # ---- toxicity ------------------------------------------------------------------------------------
 
 
