@@ -49,9 +49,12 @@ DICTIONARY = (
 ).split()
 
 TOKEN = r"[A-Za-z0-9_+/=\-]"
+#: What a name like password may have before it (DB_, --app-, my in myPassword) and after it (_prod, 2).
+BEFORE = r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{0,40}[_\-./+]){0,12}(?-i:[A-Za-z0-9]{1,40}?(?<=[a-z0-9])(?=[A-Z]))?"
+AFTER = r"(?-i:[0-9]{0,4}(?:[_\-][A-Za-z0-9]{1,40}|[A-Z][a-z0-9]{1,40}){0,4})"
 CANDIDATE = re.compile(
     r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"
-    r"|(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret))[\"']?\s{0,3}(?::=|=>|[:=])\s{0,3}[\"']?(?P<value>[^\s\"'<>,;]{6,})"
+    rf"|(?i:{BEFORE}(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret){AFTER})[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{6,}})"
     rf"|(?<!{TOKEN})(?={TOKEN[:-1].replace('0-9', '')}]*[0-9])(?P<token>{TOKEN}{{16,}})",
     re.S,
 )

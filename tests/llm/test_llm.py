@@ -184,6 +184,15 @@ def test_secrets_are_replaced(spark):
     assert secrets.redact_secrets(docs.limit(0)).columns == docs.columns
 
 
+def test_compound_names_give_candidates():
+    said = [('DB_PASSWORD: "hunter2!pass"', "hunter2!pass"), ("db_password = s3cr3t!Pw", "s3cr3t!Pw"), ("auth_token: Xq9!kk2mZ", "Xq9!kk2mZ"), ("DB_PASSWORD=s3cr3t!Pw", "s3cr3t!Pw"), ("--app-password=s3cr3t!Pw", "s3cr3t!Pw")]
+    said += [("SECRET_KEY='a!b2c3d4'", "a!b2c3d4"), ("password_prod2: s3cr3t!Pw", "s3cr3t!Pw"), ('"dbPassword": "s3cr3t!Pw"', "s3cr3t!Pw"), ("conf/db.passwordOld := s3cr3t!Pw", "s3cr3t!Pw"), ("password = s3cr3t!Pw", "s3cr3t!Pw")]
+    assert [[text[a:b] for a, b in secrets.candidates(text)] for text, _ in said] == [[value] for _, value in said]
+    assert secrets.candidates("the tokens: several, a passwordless: login, compass: northwards") == []
+    forest, make = secrets.Forest(secrets.train(secrets.findings())), secrets.Features()
+    assert all(forest.score(make.of(text, *secrets.candidates(text)[0], "")) >= secrets.THRESHOLD for text, value in said if value != "hunter2!pass")  # has a plain word
+
+
 def test_forest_learns_from_a_table(spark):
     rows = [(t, a, b, p, bool(y)) for t, a, b, p, y in secrets.findings(300)] + [(None, 0, 1, None, True)]
     labelled = spark.createDataFrame(rows, "text string, start int, end int, path string, secret boolean")
