@@ -52,8 +52,11 @@ TOKEN = r"[A-Za-z0-9_+/=\-]"
 #: What a name like password may have before it (DB_, --app-, my in myPassword) and after it (_prod, 2).
 BEFORE = r"(?<![A-Za-z0-9])(?:[A-Za-z0-9]{0,40}[_\-./+]){0,12}(?-i:[A-Za-z0-9]{1,40}?(?<=[a-z0-9])(?=[A-Z]))?"
 AFTER = r"(?-i:[0-9]{0,4}(?:[_\-][A-Za-z0-9]{1,40}|[A-Z][a-z0-9]{1,40}){0,4})"
+#: What lies between the lines of a key, also where line breaks are written out; a key without an end reaches as far as its lines do.
+BREAK = r"(?:\s|\\[nrt]){1,8}"
+LINES = rf"(?:{BREAK}(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*)*(?:{BREAK}[A-Za-z0-9+/]{{16,}}={{0,2}})*(?:{BREAK}[A-Za-z0-9+/]+(?:={{1,2}}|(?=\s*\Z)))?"
 CANDIDATE = re.compile(
-    r"-----BEGIN [A-Z ]*PRIVATE KEY-----.*?(?:-----END [A-Z ]*PRIVATE KEY-----|\Z)"
+    rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:(?!-----BEGIN ).)*?-----END [A-Z ]*PRIVATE KEY-----|{LINES})"
     rf"|(?i:{BEFORE}(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|private[_-]?key|client[_-]?secret){AFTER})[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?(?P<value>[^\s\"'<>,;]{{6,}})"
     rf"|(?<!{TOKEN})(?={TOKEN[:-1].replace('0-9', '')}]*[0-9])(?P<token>{TOKEN}{{16,}})",
     re.S,
@@ -100,36 +103,35 @@ class Features:
 
     def of(self, text: str, a: int, b: int, path: str) -> list[float]:
         value = text[a:b]
-        head = value[:400]
-        n, low = len(head), head.lower()
-        counts = Counter(head)
-        classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in head]
+        n, low = len(value), value.lower()
+        counts = Counter(value)
+        classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
         letters = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in low]
         near = [w.lower() for w in WORD.findall(text[max(0, a - 60) : a])[-4:]]
         parts = [x for w in near for x in re.split(r"[_\-]", w)]
         gap = text[max(0, a - 4) : a]
         paths = WORD.findall(path.lower())
         return [
-            float(min(len(value), 2000)),
+            float(n),
             -sum(c / n * math.log2(c / n) for c in counts.values()),
             len(counts) / n,
             classes.count("d") / n,
             classes.count("u") / n,
             classes.count("s") / n,
-            float(all(c in "0123456789abcdefABCDEF" for c in head)),
+            float(all(c in "0123456789abcdefABCDEF" for c in value)),
             sum(x != y for x, y in zip(classes, classes[1:])) / n,
             float(np.mean(self.log[letters[:-1], letters[1:]])) if n > 1 else 0.0,
             self.coverage(low),
             float(value.startswith(PREFIXES)),
             float(any(p in low for p in PLACEHOLDERS)),
-            float(max(len(m[0]) for m in re.finditer(r"(.)\1*", head, re.S))),
+            float(max(len(m[0]) for m in re.finditer(r"(.)\1*", value, re.S))),
             float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
             float(any(p in SECRET_NAMES for p in parts)),
             float(any(p in PLAIN_NAMES for p in parts)),
             float(bool(re.search(r"[:=]", gap))),
             float(bool(re.search(r"[\"']\Z", gap))),
             float(any(p in EXAMPLE_PATHS for p in paths)),
-            head.count("/") / n,
+            value.count("/") / n,
             float(value.startswith("-----BEGIN")),
             float(classes.count("l") == n),
         ]
