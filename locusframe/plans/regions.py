@@ -73,21 +73,25 @@ def positions(spark, d):
 Q["position_scores"] = (positions, f"with {RG} select rid, cast(floor((g.s+g.e)/2.0) as bigint) as pos, {r6_sql('avg(sc)')} as score from r join g on {MEET} where floor((g.s+g.e)/2.0) between r.s and r.e group by all")
 
 
-def avoided(spark, d):
+def avoided(spark, d, others: str = "true"):
     own = regions(spark, d)
-    found = C.avoid(C.position_scores(own, signal(spark, d), width=WIDTH), own, own.filter("_row % 7 = 0"), width=WIDTH)
+    found = C.avoid(C.position_scores(own, signal(spark, d), width=WIDTH), own, own.filter(others), width=WIDTH)
     return found.select(F.col("_row").alias("rid"), "pos")
 
 
-Q["avoid_neighbours"] = (avoided, f"with {RG}, p as (select distinct rid, r.seq, cast(floor((g.s+g.e)/2.0) as bigint) as pos from r join g on {MEET} where floor((g.s+g.e)/2.0) between r.s and r.e) select rid, pos from p where not exists (select 1 from r o where o.rid%7=0 and o.rid<>p.rid and o.seq=p.seq and p.pos between o.s and o.e)")
+Q["avoid_neighbours"] = (lambda s, d: avoided(s, d, "_row % 7 = 0"), f"with {RG}, p as (select distinct rid, r.seq, cast(floor((g.s+g.e)/2.0) as bigint) as pos from r join g on {MEET} where floor((g.s+g.e)/2.0) between r.s and r.e) select rid, pos from p where not exists (select 1 from r o where o.rid%7=0 and o.rid<>p.rid and o.seq=p.seq and p.pos between o.s and o.e)")
 
 
-def base_positions(spark, d):
-    found = C.position_scores(regions(spark, d).filter("_row % 10 = 0"), signal(spark, d), width=WIDTH, place="base")
+Q["avoid_all_neighbours"] = (avoided, None)
+
+
+def base_positions(spark, d, own: str = "true"):
+    found = C.position_scores(regions(spark, d).filter(own), signal(spark, d), width=WIDTH, place="base")
     return found.select(F.col("_row").alias("rid"), "pos", r6("score").alias("score"))
 
 
-Q["base_scores"] = (base_positions, f"with {RG}, p as (select rid, sc, unnest(range(greatest(r.s,g.s), least(r.e,g.e)+1)) as pos from r join g on {MEET} where rid%10=0) select rid, pos, {r6_sql('avg(sc)')} as score from p group by all")
+Q["base_scores"] = (lambda s, d: base_positions(s, d, "_row % 10 = 0"), f"with {RG}, p as (select rid, sc, unnest(range(greatest(r.s,g.s), least(r.e,g.e)+1)) as pos from r join g on {MEET} where rid%10=0) select rid, pos, {r6_sql('avg(sc)')} as score from p group by all")
+Q["base_scores_all"] = (base_positions, None)
 
 # ---- windows -------------------------------------------------------------------------------------
 

@@ -34,5 +34,37 @@ def test_query_and_sql_agree(spark, db, name):
     assert rows(found) == rows(wanted)
 
 
+@pytest.fixture(scope="module")
+def few(spark, tmp_path_factory):
+    """Overlapping regions and signals of a few orders, in a folder of their own."""
+    from locusframe.plans import data
+
+    top = str(tmp_path_factory.mktemp("few"))
+    for t in ("orders", "lineitem"):
+        key = "o_orderkey" if t == "orders" else "l_orderkey"
+        spark.read.parquet(f"{DATA}/{t}.parquet").filter(f"{key} <= 120").write.parquet(f"{top}/{t}.parquet")
+    own = [tuple(r) for r in data.regions(spark, top).select("_row", "seq_id", "start", "end").collect()]
+    sig = [tuple(r) for r in data.signal(spark, top).select("seq_id", "start", "end", "score").collect()]
+    return top, own, [(k, s, a, b, c, d, float(v)) for k, s, a, b in own for q, c, d, v in sig if q == s and c <= b and a <= d]
+
+
+def test_bases_of_all_regions_are_scored(spark, few):
+    top, _, pairs = few
+    want = {}
+    for k, _, a, b, c, d, v in pairs:
+        for pos in range(max(a, c), min(b, d) + 1):
+            want.setdefault((k, pos), []).append(v)
+    got = {(r["rid"], r["pos"]): r["score"] for r in entry.queries()["base_scores_all"](spark, top).collect()}
+    assert got.keys() == want.keys() and any(k % 10 for k, _ in got)
+    assert all(abs(got[k] - sum(v) / len(v)) < 1e-5 for k, v in want.items())
+
+
+def test_positions_avoid_all_neighbours(spark, few):
+    top, own, pairs = few
+    points = {(k, s, (c + d) // 2) for k, s, a, b, c, d, _ in pairs if a <= (c + d) // 2 <= b}
+    want = {(k, pos) for k, s, pos in points if not any(q == s and o != k and a <= pos <= b for o, q, a, b in own)}
+    assert {(r["rid"], r["pos"]) for r in entry.queries()["avoid_all_neighbours"](spark, top).collect()} == want and want
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1500
