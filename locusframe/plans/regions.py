@@ -239,4 +239,9 @@ def span_of(pdf):
     return pd.DataFrame({"rid": [pdf["_row"].iloc[0]], "value": [int(pdf["r_end"].max() - pdf["r_start"].min() + 1)]})
 
 
-Q["each_region"] = (lambda s, d: C.each_region(regions(s, d).filter("_row % 50 = 0"), signal(s, d), span_of, "rid long, value long", width=WIDTH), f"with {RG} select rid, max(g.e)-min(g.s)+1 as value from r join g on {MEET} where rid%50=0 group by rid")
+def each(spark, d, own: str = "true"):
+    return C.each_region(regions(spark, d).filter(own), signal(spark, d), span_of, "rid long, value long", width=WIDTH)
+
+
+Q["each_region"] = (lambda s, d: each(s, d, "_row % 50 = 0"), f"with {RG} select rid, max(g.e)-min(g.s)+1 as value from r join g on {MEET} where rid%50=0 group by rid")
+Q["each_region_all"] = (each, None)

@@ -66,5 +66,15 @@ def test_positions_avoid_all_neighbours(spark, few):
     assert {(r["rid"], r["pos"]) for r in entry.queries()["avoid_all_neighbours"](spark, top).collect()} == want and want
 
 
+def test_each_region_is_met(spark, few):
+    top, _, pairs = few
+    want = {}
+    for k, _, _, _, c, d, _ in pairs:
+        lo, hi = want.get(k, (c, d))
+        want[k] = (min(lo, c), max(hi, d))
+    got = {r["rid"]: r["value"] for r in entry.queries()["each_region_all"](spark, top).collect()}
+    assert got == {k: hi - lo + 1 for k, (lo, hi) in want.items()} and any(k % 50 for k in got)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1500
