@@ -136,11 +136,12 @@ def alignment_count(regions: DataFrame, alignments: DataFrame, key: str = "_row"
 
 def spliced_positions(ex: DataFrame, signal: DataFrame, width: int | None = None) -> DataFrame:
     """(transcript_id, pos, score): middles of a signal on exons (with their spliced offset), counted from the 5 prime end without introns."""
-    pairs = overlap_join(ex.select("transcript_id", "spliced", *INTERVAL), signal.select(*INTERVAL, "score"), width)
-    point = F.floor((F.col("r_start") + F.col("r_end")) / 2).cast("long")
-    inside = pairs.withColumn("_p", point).filter("_p between start and end")
-    place = F.col("spliced") + F.when(F.col("strand") >= 0, F.col("_p") - F.col("start")).otherwise(F.col("end") - F.col("_p"))
-    return inside.groupBy("transcript_id", place.alias("pos")).agg(F.avg("r_score").alias("score"))
+    point = F.floor((F.col("start") + F.col("end")) / 2).cast("long")
+    # rows of one middle are added up first: they fall on the same exons
+    points = signal.filter("end >= start").groupBy("seq_id", point.alias("start")).agg(F.sum("score").alias("total"), F.count("score").alias("n")).withColumns({"end": F.col("start"), "strand": F.lit(0)})
+    inside = overlap_join(ex.select("transcript_id", "spliced", *INTERVAL), points.select(*INTERVAL, "total", "n"), width)
+    place = F.col("spliced") + F.when(F.col("strand") >= 0, F.col("r_start") - F.col("start")).otherwise(F.col("end") - F.col("r_start"))
+    return inside.groupBy("transcript_id", place.alias("pos")).agg(F.try_divide(F.sum("r_total"), F.sum("r_n")).alias("score"))
 
 
 def each_region(regions: DataFrame, signal: DataFrame, function, schema: str, key: str = "_row", width: int | None = None) -> DataFrame:

@@ -76,5 +76,25 @@ def test_each_region_is_met(spark, few):
     assert got == {k: hi - lo + 1 for k, (lo, hi) in want.items()} and any(k % 50 for k in got)
 
 
+def test_all_transcripts_are_spliced(spark, few):
+    from locusframe.plans import data
+
+    own = {}
+    for r in data.gene_model(spark, few[0])[1].filter("type = 'exon'").collect():
+        own.setdefault(r["transcript_id"], []).append((r["start"], r["end"], r["strand"]))
+    marks = [((a + b) // 2, b - a) for exons in own.values() for a, b, _ in exons]
+    want = {}
+    for tid, exons in own.items():
+        before = 0
+        for a, b, st in sorted(exons, key=lambda x: x[0] if x[2] >= 0 else -x[1]):
+            for p, n in marks:
+                if a <= p <= b:
+                    want.setdefault((tid, before + (p - a if st >= 0 else b - p)), []).append(n)
+            before += b - a + 1
+    got = {(r["transcript_id"], r["pos"]): r["score"] for r in entry.queries()["spliced_positions_all"](spark, few[0]).collect()}
+    assert got.keys() == want.keys() and {tid[-1] for tid, _ in got} == set("ANR")
+    assert all(abs(got[k] - sum(v) / len(v)) < 1e-5 for k, v in want.items())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 1500
