@@ -35,6 +35,8 @@ SAMPLE, FEATURES = 2_000, 5_000
 WORD_COST, TAG_COST = 0.1, 0.05
 
 MAIN = frozenset(("article", "main"))
+#: Names on these, and on elements that hold one of MAIN, say nothing of their text.
+ROOTS = MAIN | {"html", "body"}
 #: Elements whose content is no text.
 SILENT = frozenset(("script", "style", "noscript", "template", "svg", "math", "head", "title", "iframe", "object", "canvas", "audio", "video", "select", "textarea", "button", "datalist"))
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "iframe", "xmp"))
@@ -45,7 +47,7 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("opt
 ENDS_P = frozenset(("address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"))
 #: Elements, and words of class and id, that hold no article text.
 APART = frozenset(("nav", "aside", "footer", "form", "menu", "dialog", "header"))
-APART_NAMES = re.compile(r"(?<![a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|related|recommend\w*|share|sharing|social|comments?|commentlist|replies|respond|disqus|widget|pager|pagination|toolbar|copyright|skip|search)(?![a-z])")
+APART_NAMES = re.compile(r"\A(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|header|masthead|related|recommend\w*|share|sharing|social|comments?|commentlist|replies|respond|disqus|widget|pager|pagination|toolbar|copyright|skip|search)(?![a-z])")
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<]*\"|'[^'<]*')*)>|<[a-zA-Z/][^>]*>", re.S)
 NAMES = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
@@ -66,11 +68,11 @@ def element(name: str, attributes: str) -> tuple[str, frozenset[str], bool]:
 
 def blocks(page: str) -> list[tuple[str, frozenset[str], int, bool]]:
     """(text, features of the elements around, tags before it, inside <article> or <main>) for each block of text."""
-    out: list[tuple[str, frozenset[str], int, bool]] = []
-    stack: list[tuple[str, frozenset[str], bool]] = []
+    out: list[tuple[str, tuple, int, bool]] = []
+    stack: list[tuple[str, frozenset[str], bool, int]] = []  # the last is where the element begins
     piece: list[str] = []
-    around: frozenset[str] = frozenset()
-    tags, at = 0, 0
+    around: tuple = ()
+    tags, at, holders = 0, 0, set()
 
     def flush() -> None:
         nonlocal tags
@@ -82,7 +84,7 @@ def blocks(page: str) -> list[tuple[str, frozenset[str], int, bool]]:
 
     def renew() -> None:
         nonlocal around
-        around = frozenset().union(*(e[1] for e in stack if e[0] not in INLINE or e[0] == "a" or len(e[1]) > 1)) if stack else frozenset()
+        around = tuple(e for e in stack if e[0] not in INLINE or e[0] == "a" or len(e[1]) > 1)
 
     def pop(k: int) -> None:
         del stack[k:]
@@ -130,10 +132,16 @@ def blocks(page: str) -> list[tuple[str, frozenset[str], int, bool]]:
         own = element(name, m[2] or "")
         if name == "header" and any(e[0] in MAIN for e in stack):  # an article's own heading
             own = (name, own[1] - {name}, own[2])
-        stack.append(own)
+        if name in MAIN:
+            holders.update(e[3] for e in stack)
+        stack.append((*own, at))
         renew()
     flush()
-    return out
+
+    def features(e: tuple) -> frozenset[str]:
+        return frozenset(f for f in e[1] if f[0] != "." or not prior(f)) if e[0] in ROOTS or e[3] in holders else e[1]
+
+    return [(text, frozenset().union(*map(features, around)), tags, main) for text, around, tags, main in out]
 
 
 def prior(feature: str) -> float:

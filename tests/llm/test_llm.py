@@ -238,6 +238,13 @@ def test_pages(spark):
     assert html_text.learn(pages.limit(0)) == {}
 
 
+def test_names_of_the_whole_page_do_not_silence_it():
+    text = "one two three four five"
+    for page in (f"<body class='no-sidebar sidebar'><p>{text}", f"<article class='post related'><p>{text}</article>", f"<div class=sidebar><main><p>{text}</main></div>", f"<div class='with-related no-comments'><p>{text}</div>"):
+        assert html_text.main_text(page, {}) == text
+    assert html_text.main_text(f"<p>{text}<div class=sidebar-left>Links</div><div class=related>More</div>", {}) == text
+
+
 def test_best_run_is_the_best():
     rng = random.Random(4)
     for _ in range(200):
