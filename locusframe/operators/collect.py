@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .methods import filled, reduce
@@ -210,7 +210,13 @@ def binned_profile(regions: DataFrame, signal: DataFrame, method: str = "mean",
             b = F.when(i < 0, (i + 1) * extra_size).when(i >= bins, F.col("_len") + (i - bins + 1) * extra_size).otherwise(b)
         return F.col("_o").between(a, b)
 
-    placed = placed.withColumn("bin", F.explode(F.filter(F.sequence(F.lit(-extra), F.lit(bins + extra - 1)), holds)))
+    # edges are rounded: beside the bin that the offset falls into by division, its neighbours may hold it
+    o, n = F.col("_o"), F.col("_len")
+    near = [F.floor(o * bins / n)]
+    if extra_size:
+        near += [F.floor(o / extra_size), F.floor((o - n) / extra_size) + bins]
+    tried = F.array_distinct(F.array(*[(k + d).cast("int") for k in near for d in (-1, 0, 1)]))
+    placed = placed.withColumn("bin", F.explode(F.filter(tried, lambda i: i.between(-extra, bins + extra - 1) & holds(i))))
     return placed.groupBy(key, "bin").agg(reduce(method, F.col("r_score"), F.lit(True), F.col("r_name")).alias("value"))
 
 
@@ -234,12 +240,14 @@ def profile_summary(profile: DataFrame, how: str = "mean", at: str = "win_start"
     """
     v = F.pow(F.lit(2.0), "value") if logged else F.col("value")
     if how == "trimmean":
-        a = F.array_sort(F.collect_list(v))
-        found = profile.groupBy(at).agg(F.count("value").alias("n"), a.alias("a"))
-        x = F.rint(F.col("n") / 100).cast("int")
-        add = F.aggregate(F.slice("a", x + 1, F.col("n").cast("int") - 2 * x + 1), F.lit(0.0), lambda s, y: s + y)
-        mean = F.aggregate("a", F.lit(0.0), lambda s, y: s + y) / F.col("n")
-        found = found.select(at, "n", F.when(F.col("n") < 100, mean).otherwise(add / (F.col("n") - 2 * x)).alias("value"))
+        # by distinct values, so that no window's values are brought together in one array
+        counts = profile.select(at, v.alias("v")).filter("v is not null").groupBy(at, "v").agg(F.count("*").alias("c"))
+        upto = F.sum("c").over(Window.partitionBy(at).orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+        rows = counts.withColumn("upto", upto).join(counts.groupBy(at).agg(F.sum("c").alias("n")), at)
+        x = F.rint(F.col("n") / 100).cast("long")
+        inside = F.greatest(F.least("upto", F.col("n") - x + 1) - F.greatest(F.col("upto") - F.col("c"), x), F.lit(0))
+        trimmed = F.sum(F.col("v") * inside) / (F.first("n") - 2 * F.first(x))
+        found = rows.groupBy(at).agg(F.first("n").alias("n"), F.when(F.first("n") < 100, F.sum(F.col("v") * F.col("c")) / F.first("n")).otherwise(trimmed).alias("value"))
     else:
         found = profile.groupBy(at).agg(F.count("value").alias("n"), {"mean": F.avg, "median": lambda c: F.percentile(c, 0.5)}[how](v).alias("value"))
     return found.withColumn("value", F.log2("value")) if logged else found

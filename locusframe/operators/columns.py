@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import convert_null, is_null, num, shown
+from .shared import before_parts, checkpointed, ranged
 
 
 def find_column(columns: list[str], pattern: str) -> str | None:
@@ -35,21 +36,29 @@ def add_values(df: DataFrame, name: str, values: DataFrame, key: str = "_row") -
     return df.join(values.select(key, name), key)
 
 
-def number(df: DataFrame, order: list[str], name: str = "Number", first: int = 1, block: int = 1_000_000) -> DataFrame:
-    """Rows numbered in an order.
+def number(df: DataFrame, order: list[str | Column], name: str = "Number", first: int = 1) -> DataFrame:
+    """Rows numbered in an order, by names of columns or sort expressions.
 
     No task gets all rows: a range partition sorts them, each partition is counted, and rows add the counts of those before.
     """
-    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    return _numbered(parts, name, first)
+    rows = ranged(df, order)
+    before = before_parts(rows.groupBy("_part").agg(F.count("*").alias("_n")), "_n")
+    # a row for each partition
+    return rows.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in") + first).drop("_part", "_in", "_before")
 
 
-def _numbered(parts: DataFrame, name: str, first: int) -> DataFrame:
-    marked = parts.withColumns({"_part": F.shiftright("_at", 33), "_in": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
-    w = Window.orderBy("_part")
-    sizes = marked.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
-    before = sizes.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).select("_part", "_before")
-    return marked.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_in") + first).drop("_part", "_in", "_at", "_before")
+def number_within(df: DataFrame, by: str, order: list[str], name: str = "Number", first: int = 1) -> DataFrame:
+    """Rows of each key numbered in an order; null is a key too.
+
+    A key with very many rows is dealt over the partitions of a sort: there its rows are neighbours, so their place in
+    the partition says their number once it is known where the key begins and how many of it came before.
+    """
+    rows = ranged(df, [by, *order])
+    sizes = rows.groupBy("_part", F.col(by).alias("_key")).agg(F.count("*").alias("_n"), F.min("_in").alias("_least"))
+    earlier = F.sum("_n").over(Window.partitionBy("_key").orderBy("_part")) - F.col("_n")
+    before = sizes.withColumn("_before", earlier).withColumnRenamed("_part", "_p")
+    found = rows.join(before, (F.col("_part") == F.col("_p")) & F.col(by).eqNullSafe(F.col("_key")))
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + F.col("_in") - F.col("_least") + first).alias(name))
 
 
 def unique_names(df: DataFrame, order: list[str], prefix: str, name: str = "Name") -> DataFrame:
@@ -118,13 +127,12 @@ def percentile_rank(df: DataFrame, name: str, out: str = "rank") -> DataFrame:
     """
     v = num(name)
     counts = df.select(v.alias("_v")).filter("_v is not null").groupBy("_v").agg(F.count("*").alias("_c"))
-    ranged = counts.repartitionByRange("_v").sortWithinPartitions("_v").withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    inner = ranged.withColumn("_upto", F.sum("_c").over(w))
-    sizes = inner.groupBy("_part").agg(F.sum("_c").alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
-    sizes = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"), total.alias("_all"))
-    ranks = inner.join(F.broadcast(sizes), "_part").select("_v", ((F.col("_upto") + F.col("_before")) / F.col("_all")).alias(out))
+    rows = ranged(counts, ["_v"])
+    sizes = before_parts(rows.groupBy("_part").agg(F.sum("_c").alias("_n")), "_n")
+    total = rows.agg(F.sum("_c").alias("_all"))  # one row
+    upto = F.sum("_c").over(Window.partitionBy("_part").orderBy("_in").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = rows.withColumn("_upto", upto).join(F.broadcast(sizes), "_part").join(F.broadcast(total))
+    ranks = ranks.select("_v", ((F.col("_upto") + F.col("_before")) / F.col("_all")).alias(out))
     return df.withColumn("_v", v).join(ranks, "_v", "left").drop("_v")
 
 
@@ -163,4 +171,4 @@ def null_columns(df: DataFrame, names: list[str], to, zeros: bool = False) -> Da
     return df.withColumns({c: convert_null(c, to, zeros) for c in names})
 
 
-__all__ = ["add_values", "combine", "concatenate", "find_column", "is_null", "math", "median_scale", "null_columns", "number", "percentile_rank", "rename", "reorder", "row_center", "split", "statistics", "unique_names", "zscore"]
+__all__ = ["add_values", "combine", "concatenate", "find_column", "is_null", "math", "median_scale", "null_columns", "number", "number_within", "percentile_rank", "rename", "reorder", "row_center", "split", "statistics", "unique_names", "zscore"]

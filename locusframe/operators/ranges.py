@@ -79,15 +79,35 @@ def contains(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return (a0 <= b0) & (b1 <= a1)
 
 
-def islands(df: DataFrame, by: list[str], gap: int = 0, start: str = "start", end: str = "end") -> DataFrame:
-    """Overlapping intervals merged: by, start, end and how many went in. Those next to each other stay apart; gap joins such, and farther ones."""
-    w = Window.partitionBy(*by).orderBy(start, end)
+def islands(df: DataFrame, by: list[str], gap: int = 0, start: str = "start", end: str = "end", region: int | None = None) -> DataFrame:
+    """Overlapping intervals merged: by, start, end and how many went in. Those next to each other stay apart; gap joins such, and farther ones.
+
+    With a region, a group is cut into pieces of that length, each with the farthest end and the last opening that come
+    in from the left, so a long sequence isn't one task. Without, a group is one: for groups that are small.
+    """
+    own = [*by, "_r"] if region else by
+    rows = df.withColumn("_r", F.floor(F.col(start) / region)) if region else df
+    w = Window.partitionBy(*own).orderBy(start, end)
+
+    def carried(frame: DataFrame, value: Column) -> DataFrame:
+        """The largest value of all regions before each; a row for each region."""
+        before = Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+        return frame.groupBy(*own).agg(value.alias("_m")).withColumn("_carried", F.max("_m").over(before)).drop("_m")
+
     before = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(before.isNull() | (F.col(start) > before + gap), 1).otherwise(0)
-    marked = df.withColumn("_opens", opens)
-    first = Window.partitionBy(*by).orderBy(start, end, F.desc("_opens"))  # of equal rows the one that opens
-    run = marked.withColumn("_island", F.sum("_opens").over(first.rowsBetween(Window.unboundedPreceding, 0)))
-    return run.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
+    if region:
+        rows = rows.join(carried(rows, F.max(end)), own).withColumn("_before", F.greatest(before, F.col("_carried"))).drop("_carried")
+    else:
+        rows = rows.withColumn("_before", before)
+    opens = F.when(F.col("_before").isNull() | (F.col(start) > F.col("_before") + gap), F.col(start))
+    rows = rows.withColumn("_opens", opens)
+    # an island is known by where it opens; of equal rows any may be the one that opens it
+    island = F.max("_opens").over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    if region:
+        rows = rows.join(carried(rows, F.max("_opens")), own).withColumn("_island", F.coalesce(island, "_carried"))
+    else:
+        rows = rows.withColumn("_island", island)
+    return rows.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
 def distance(kind: str = "start") -> Column:

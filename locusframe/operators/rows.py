@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce as fold
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import is_null, num
@@ -82,13 +82,17 @@ def largest_gap(cigar: str = "cigar") -> Column:
     return F.coalesce(F.array_max(gaps), F.lit(0))
 
 
-def sort_value(df: DataFrame, name: str, descending: bool = False) -> DataFrame:
-    """Numbers first, by value; then other text by leading number, letters and trailing number."""
+def value_order(name: str, descending: bool = False) -> list[Column]:
+    """Sort keys: numbers first, by value; then other text by leading number, letters and trailing number."""
     c = F.col(name).cast("string")
     lead = F.regexp_extract(c, r"^([0-9]+)", 1).try_cast("long")
     text, tail = F.regexp_extract(c, r"^[0-9]*([^0-9]*)", 1), F.regexp_extract(c, r"([0-9]+)$", 1).try_cast("long")
     turn = lambda x: x.desc_nulls_last() if descending else x.asc_nulls_last()
-    return df.orderBy(num(name).isNull(), turn(num(name)), turn(lead), turn(text), turn(tail), turn(c))
+    return [num(name).isNull().asc(), turn(num(name)), turn(lead), turn(text), turn(tail), turn(c)]
+
+
+def sort_value(df: DataFrame, name: str, descending: bool = False) -> DataFrame:
+    return df.orderBy(*value_order(name, descending))
 
 
 def sort_mean(df: DataFrame, names: list[str], how: str = "mean", descending: bool = True) -> DataFrame:
@@ -135,13 +139,18 @@ def sane_order(names: list[str]) -> list[str]:
     return sorted(names, key=key)
 
 
+def genomic_order(order: list[str], gff: bool = False) -> list[Column]:
+    """Sort keys: sequences as they are listed (others first), start and end (in GFF the longer first)."""
+    ranks = F.create_map(*[F.lit(x) for k, n in enumerate(order) for x in (n, k)]) if order else None
+    rank = F.try_element_at(ranks, F.col("seq_id")) if order else F.lit(0)
+    return [rank.asc(), F.col("start").asc(), F.desc("end") if gff else F.asc("end")]
+
+
 def genomic_sort(df: DataFrame, order: list[str] | None = None, gff: bool = False) -> DataFrame:
-    """By sequence in sane order, start and end (in GFF the longer first). The names of sequences are few; without an order they are looked up."""
+    """By sequence in sane order, start and end. The names of sequences are few; without an order they are looked up."""
     if order is None:
-        order = sane_order([r[0] for r in df.select("seq_id").distinct().collect()])
-    ranks = F.create_map(*[F.lit(x) for k, n in enumerate(order) for x in (n, k)]) if order else F.lit(None)
-    rank = F.try_element_at(ranks, F.col("seq_id")) if order else F.lit(0)
-    return df.orderBy(rank, "start", F.desc("end") if gff else F.asc("end"))
+        order = sane_order([r[0] for r in df.select("seq_id").distinct().filter("seq_id is not null").collect()])
+    return df.orderBy(*genomic_order(order, gff))
 
 
 def concatenate(*frames: DataFrame) -> DataFrame:
@@ -153,8 +162,9 @@ def concatenate(*frames: DataFrame) -> DataFrame:
 
 def split_parts(df: DataFrame, name: str, order: list[str], most: int) -> DataFrame:
     """The part of its value's group that each row is in, of at most so many rows."""
-    at = F.row_number().over(Window.partitionBy(name).orderBy(*order))
-    return df.withColumn("part", F.ceil(at / most).cast("int"))
+    from .columns import number_within
+
+    return number_within(df, name, order, "_at").withColumn("part", F.ceil(F.col("_at") / most).cast("int")).drop("_at")
 
 
 def split_rows(df: DataFrame, parts: int, number: str = "_row", rows: int | None = None) -> DataFrame:
@@ -166,5 +176,7 @@ def split_rows(df: DataFrame, parts: int, number: str = "_row", rows: int | None
 
 def numbered_names(df: DataFrame, name: str, order: list[str]) -> DataFrame:
     """Names that repeat get .1, .2 from the second on, in order."""
-    at = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
-    return df.withColumn(name, F.when(at == 0, F.col(name)).otherwise(F.concat_ws(".", name, at.cast("string"))))
+    from .columns import number_within
+
+    rows = number_within(df, name, order, "_at", 0)
+    return rows.withColumn(name, F.when((F.col("_at") == 0) | F.col(name).isNull(), F.col(name)).otherwise(F.concat_ws(".", name, F.col("_at").cast("string")))).drop("_at")

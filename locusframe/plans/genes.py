@@ -63,18 +63,17 @@ Q["unique_regions"] = (parts_of(lambda tx, p: G.unique_regions(tx.select("gene_i
 Q["spliced_offsets"] = (parts_of(lambda tx, p: place(G.spliced_offsets(G.exons(p)), "spliced")), f"with {EX} {EXONS}, cast(coalesce(sum(e-s+1) over (partition by tid order by case when st>=0 then s else -e end rows between unbounded preceding and 1 preceding),0) as bigint) as spliced from ex")
 
 
-def spliced(spark, d, exons: str = "true", transcripts: str = "true"):
+def spliced(spark, d):
     _, parts = gene_model(spark, d)
     own = parts.filter("type = 'exon'").withColumn("n", F.col("end") - F.col("start"))
-    scores = own.select("seq_id", F.col("start"), F.col("end"), F.col("strand"), F.col("n").cast("double").alias("score"), F.col("transcript_id").alias("name")).filter(exons)
-    found = C.spliced_positions(G.spliced_offsets(G.exons(parts)).filter(transcripts), scores, width=64)
+    scores = own.select("seq_id", F.col("start"), F.col("end"), F.col("strand"), F.col("n").cast("double").alias("score"), F.col("transcript_id").alias("name"))
+    found = C.spliced_positions(G.spliced_offsets(G.exons(parts)), scores, width=64)
     return found.select("transcript_id", "pos", r6("score").alias("score"))
 
 
-Q["spliced_positions_all"] = (spliced, None)
 Q["spliced_positions"] = (
-    lambda s, d: spliced(s, d, "end % 7 = 0", "transcript_id like '%1.A'"),
-    f"with {EX}, x as (select *, coalesce(sum(e-s+1) over (partition by tid order by case when st>=0 then s else -e end rows between unbounded preceding and 1 preceding),0) as sp from ex), y as (select cast(floor((s+e)/2.0) as bigint) as p, e-s as n from ex where e%7=0) select tid as transcript_id, cast(sp+case when st>=0 then p-s else e-p end as bigint) as pos, {r6_sql('avg(n)')} as score from x join y on p between s and e where tid like '%1.A' group by all",
+    spliced,
+    f"with {EX}, x as (select *, coalesce(sum(e-s+1) over (partition by tid order by case when st>=0 then s else -e end rows between unbounded preceding and 1 preceding),0) as sp from ex), y as (select cast(floor((s+e)/2.0) as bigint) as p, sum(e-s) as n, count(*) as k from ex group by 1), z as (select tid, cast(sp+case when st>=0 then p-s else e-p end as bigint) as pos, n, k from x join y on p between s and e) select tid as transcript_id, pos, {r6_sql('sum(n)/sum(k)')} as score from z group by all",
 )
 
 

@@ -73,25 +73,21 @@ def positions(spark, d):
 Q["position_scores"] = (positions, f"with {RG} select rid, cast(floor((g.s+g.e)/2.0) as bigint) as pos, {r6_sql('avg(sc)')} as score from r join g on {MEET} where floor((g.s+g.e)/2.0) between r.s and r.e group by all")
 
 
-def avoided(spark, d, others: str = "true"):
+def avoided(spark, d):
     own = regions(spark, d)
-    found = C.avoid(C.position_scores(own, signal(spark, d), width=WIDTH), own, own.filter(others), width=WIDTH)
+    found = C.avoid(C.position_scores(own, signal(spark, d), width=WIDTH), own, own, width=WIDTH)
     return found.select(F.col("_row").alias("rid"), "pos")
 
 
-Q["avoid_neighbours"] = (lambda s, d: avoided(s, d, "_row % 7 = 0"), f"with {RG}, p as (select distinct rid, r.seq, cast(floor((g.s+g.e)/2.0) as bigint) as pos from r join g on {MEET} where floor((g.s+g.e)/2.0) between r.s and r.e) select rid, pos from p where not exists (select 1 from r o where o.rid%7=0 and o.rid<>p.rid and o.seq=p.seq and p.pos between o.s and o.e)")
+Q["avoid_neighbours"] = (avoided, f"with {RG}, p as (select distinct rid, r.seq, cast(floor((g.s+g.e)/2.0) as bigint) as pos from r join g on {MEET} where floor((g.s+g.e)/2.0) between r.s and r.e), h as (select distinct p.rid, p.pos from p join r o on o.seq=p.seq and p.pos between o.s and o.e where o.rid<>p.rid) select rid, pos from p where (rid, pos) not in (select rid, pos from h)")
 
 
-Q["avoid_all_neighbours"] = (avoided, None)
-
-
-def base_positions(spark, d, own: str = "true"):
-    found = C.position_scores(regions(spark, d).filter(own), signal(spark, d), width=WIDTH, place="base")
+def base_positions(spark, d):
+    found = C.position_scores(regions(spark, d), signal(spark, d), width=WIDTH, place="base")
     return found.select(F.col("_row").alias("rid"), "pos", r6("score").alias("score"))
 
 
-Q["base_scores"] = (lambda s, d: base_positions(s, d, "_row % 10 = 0"), f"with {RG}, p as (select rid, sc, unnest(range(greatest(r.s,g.s), least(r.e,g.e)+1)) as pos from r join g on {MEET} where rid%10=0) select rid, pos, {r6_sql('avg(sc)')} as score from p group by all")
-Q["base_scores_all"] = (base_positions, None)
+Q["base_scores"] = (base_positions, f"with {RG}, p as (select rid, sc, unnest(range(greatest(r.s,g.s), least(r.e,g.e)+1)) as pos from r join g on {MEET}) select rid, pos, {r6_sql('avg(sc)')} as score from p group by all")
 
 # ---- windows -------------------------------------------------------------------------------------
 
@@ -198,7 +194,7 @@ Q["range_algebra_intersection"] = (algebra("intersection"), f"with {XJ} select r
 Q["range_algebra_union"] = (algebra("union"), f"with {XJ} select rid, nm as other, least(a,c) as s, greatest(b,d) as e from j")
 Q["range_algebra_subtract"] = (algebra("subtract"), f"with {XJ} select rid, nm as other, a as s, c-1 as e from j where a<=c-1 union all select rid, nm, d+1, b from j where d+1<=b")
 Q["interval_islands"] = (
-    lambda s, d: R.islands(signal(s, d), ["seq_id"]).select("seq_id", "start", F.col("end"), "n"),
+    lambda s, d: R.islands(signal(s, d), ["seq_id"], region=10_000).select("seq_id", "start", F.col("end"), "n"),
     f"with {RG}, a as (select seq, s, e, case when s > coalesce(max(e) over (partition by seq order by s, e rows between unbounded preceding and 1 preceding), -1) then 1 else 0 end as o from g), b as (select *, sum(o) over (partition by seq order by s, e, o desc rows between unbounded preceding and current row) as k from a) select seq as seq_id, min(s) as start, max(e) as \"end\", count(*) as n from b group by seq, k",
 )
 
@@ -239,9 +235,7 @@ def span_of(pdf):
     return pd.DataFrame({"rid": [pdf["_row"].iloc[0]], "value": [int(pdf["r_end"].max() - pdf["r_start"].min() + 1)]})
 
 
-def each(spark, d, own: str = "true"):
-    return C.each_region(regions(spark, d).filter(own), signal(spark, d), span_of, "rid long, value long", width=WIDTH)
-
-
-Q["each_region"] = (lambda s, d: each(s, d, "_row % 50 = 0"), f"with {RG} select rid, max(g.e)-min(g.s)+1 as value from r join g on {MEET} where rid%50=0 group by rid")
-Q["each_region_all"] = (each, None)
+Q["each_region"] = (
+    lambda s, d: C.each_region(regions(s, d), signal(s, d), span_of, "rid long, value long", width=WIDTH),
+    f"with {RG} select rid, max(g.e)-min(g.s)+1 as value from r join g on {MEET} group by rid",
+)

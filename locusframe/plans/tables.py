@@ -109,8 +109,8 @@ Q["split"] = (
     lambda s, d: K.split(read(s, d, "part").select(key(), "p_name"), "p_name", "[ _#]", 3),
     "select p_partkey as id, p_name, " + ", ".join(f"nullif(regexp_split_to_array(p_name, '[ _#]')[{k}], '') as p_name_{k}" for k in (1, 2, 3)) + " from part",
 )
-Q["number"] = (lambda s, d: K.number(read(s, d, "supplier"), ["s_suppkey"], "n").select("s_suppkey", "n"), "select s_suppkey, row_number() over (order by s_suppkey) as n from supplier")
-Q["addname"] = (lambda s, d: K.unique_names(read(s, d, "supplier"), ["s_suppkey"], "S_").select("s_suppkey", "Name"), "select s_suppkey, 'S_' || row_number() over (order by s_suppkey) as Name from supplier")
+Q["number"] = (lambda s, d: K.number(read(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice").distinct(), ["l_extendedprice", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity"], "n").select("l_orderkey", "l_partkey", "n"), "select l_orderkey, l_partkey, row_number() over (order by l_extendedprice, l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity) as n from (select distinct l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice from lineitem)")
+Q["addname"] = (lambda s, d: K.unique_names(read(s, d, "orders"), ["o_orderkey"], "S_").select("o_orderkey", "Name"), "select o_orderkey, 'S_' || row_number() over (order by o_orderkey) as Name from orders")
 Q["reorder"] = (lambda s, d: K.reorder(read(s, d, "nation"), ["n_name", "n_nationkey", "n_name"]), "select n_name, n_nationkey, n_name as n_name_2 from nation")
 Q["delete"] = (lambda s, d: read(s, d, "nation").drop("n_name"), "select n_nationkey, n_regionkey from nation")
 Q["rename"] = (lambda s, d: K.rename(read(s, d, "nation"), {"n_name": "label"}), "select n_nationkey, n_name as label, n_regionkey from nation")
@@ -130,11 +130,11 @@ Q["keep"] = (pick(lambda t: W.keep_values(t, ["odd"], ["1d", "."])), f"with {PAR
 Q["drop_rows"] = (pick(lambda t: W.drop_rows(t, [1, 2, 3], "p_partkey")), "select p_partkey as id from part where p_partkey not in (1,2,3)")
 Q["length_filter"] = (lambda s, d: W.by_length(read(s, d, "part").withColumns({"start": F.col("p_partkey"), "end": F.col("p_partkey") + F.col("p_size") - 1}), 10, 20).select(key()), "select p_partkey as id from part where p_size between 10 and 20")
 Q["skip_sequences"] = (lambda s, d: W.skip_sequences(regions(s, d), "^[FX]").select(F.col("_row").alias("rid")), f"with {RG} select rid from r where not regexp_matches(seq, '^[FX]')")
-Q["sort_value"] = (lambda s, d: K.number(W.sort_value(part(s, d).filter("odd is not null").select("odd").distinct(), "odd").coalesce(1).withColumn("_at", F.monotonically_increasing_id()), ["_at"], "n").select("odd", "n"), f"with {PART}, u as (select distinct odd, num from p where odd is not null) select odd, row_number() over (order by num is null, num, try_cast(nullif(regexp_extract(odd,'^([0-9]+)',1),'') as bigint) nulls last, regexp_extract(odd,'^[0-9]*([^0-9]*)',1), odd) as n from u")
-Q["gsort"] = (
-    lambda s, d: K.number(W.genomic_sort(regions(s, d), ["F", "O", "P"]).coalesce(1).withColumn("_at", F.monotonically_increasing_id()), ["_at"], "n").select(F.col("_row").alias("rid"), "n"),
-    f"with {RG} select rid, row_number() over (order by seq, s, e) as n from r",
+Q["sort_value"] = (
+    lambda s, d: K.number(part(s, d).select(key(), "odd"), [*W.value_order("odd"), F.col("id").asc()], "n").select("id", "n"),
+    f"with {PART} select p_partkey as id, row_number() over (order by num is null, num, try_cast(nullif(regexp_extract(odd,'^([0-9]+)',1),'') as bigint) nulls last, regexp_extract(odd,'^[0-9]*([^0-9]*)',1) nulls last, odd nulls last, p_partkey) as n from p",
 )
+Q["gsort"] = (lambda s, d: K.number(regions(s, d), W.genomic_order(["F", "O", "P"]), "n").select(F.col("_row").alias("rid"), "n"), f"with {RG} select rid, row_number() over (order by seq, s, e) as n from r")
 Q["unique_names"] = (lambda s, d: W.numbered_names(read(s, d, "part").select(key(), "p_brand"), "p_brand", ["id"]), "with n as (select p_partkey as id, p_brand, row_number() over (partition by p_brand order by p_partkey)-1 as k from part) select id, case when k=0 then p_brand else p_brand || '.' || k end as p_brand from n")
 Q["split_parts"] = (lambda s, d: W.split_parts(read(s, d, "part").select(key(), "p_brand"), "p_brand", ["id"], 7).groupBy("p_brand", "part").agg(F.count("*").alias("n")), "with n as (select p_brand, ceil(row_number() over (partition by p_brand order by p_partkey)/7.0) as part from part) select p_brand, cast(part as integer) as part, count(*) as n from n group by all")
 Q["split_rows"] = (lambda s, d: W.split_rows(K.number(read(s, d, "part"), ["p_partkey"], "_row"), 3).groupBy("part").agg(F.count("*").alias("n")), "with n as (select row_number() over (order by p_partkey) as k, count(*) over () as t from part) select cast(least((k-1)//(t//3)+1, 3) as integer) as part, count(*) as n from n group by 1")

@@ -88,15 +88,19 @@ def combined(signal: DataFrame, how: str = "mean") -> DataFrame:
     return signal.groupBy("seq_id", "start").agg(F.max("end").alias("end"), way("score").alias("score"))
 
 
-def wig_lines(signal: DataFrame, kind: str = "variable", step: int = 1, span: int = 1, zeros: bool = True) -> DataFrame:
+def wig_lines(signal: DataFrame, kind: str = "variable", step: int = 1, span: int = 1, zeros: bool = True, region: int = 1_000_000) -> DataFrame:
     """(seq_id, start, part, line) of a wiggle file: order by the first three. A declaration stands before each block.
 
-    fixed: a block goes on as long as starts are a step apart. variable: a block is a sequence.
+    fixed: a block goes on as long as starts are a step apart. variable: a block is a sequence. The start before a row
+    is looked up in its region, and before the first of a region in the last start of those before.
     """
-    rows = signal if zeros else signal.filter("score <> 0")
-    w = Window.partitionBy("seq_id").orderBy("start")
-    before = F.lag("start").over(w)
-    opens = before.isNull() | (F.col("start") != before + step) if kind == "fixed" else before.isNull()
+    rows = (signal if zeros else signal.filter("score <> 0")).withColumn("_r", F.floor(F.col("start") / region))
+    w = Window.partitionBy("seq_id").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    ends = rows.groupBy("seq_id", "_r").agg(F.max("start").alias("_m")).withColumn("_carried", F.max("_m").over(w)).drop("_m")
+    inner = Window.partitionBy("seq_id", "_r").orderBy("start")
+    before = F.coalesce(F.lag("start").over(inner), F.col("_carried"))
+    rows = rows.join(ends, ["seq_id", "_r"]).withColumn("_before", before)
+    opens = F.col("_before").isNull() | (F.col("start") != F.col("_before") + step) if kind == "fixed" else F.col("_before").isNull()
     text = F.format_string("fixedStep chrom=%s start=%d step=%d span=%d", "seq_id", "start", F.lit(step), F.lit(span)) if kind == "fixed" else F.format_string("variableStep chrom=%s span=%d", "seq_id", F.lit(span))
     value = F.col("score").cast("string") if kind == "fixed" else F.concat_ws(" ", F.col("start").cast("string"), F.col("score").cast("string"))
     both = F.array_compact(F.array(F.when(opens, F.struct(F.lit(0).alias("part"), text.alias("line"))), F.struct(F.lit(1).alias("part"), value.alias("line"))))

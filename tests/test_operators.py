@@ -41,9 +41,74 @@ def test_split_pieces(spark):
     assert [tuple(r)[2:] for r in K.split(df, "c", "_").orderBy("_row").collect()] == [("a", "b", "c"), ("x", None, None), (None, None, None)]
 
 
-def test_numbers_go_on_over_partitions(spark):
-    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
-    assert [r["n"] for r in K.number(df, ["k"], "n").orderBy("k").collect()] == list(range(1, 1001))
+@pytest.mark.parametrize("adaptive", [True, False])
+def test_numbers_go_on_over_partitions(spark, adaptive):
+    """Exactly 1 to n and every row, whatever partitions the sort makes."""
+    rows, old = 300_000, {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", str(adaptive).lower())
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.range(rows).select((F.col("id") * 7919 % rows).alias("k"), F.expr("repeat(cast(id as string), 20)").alias("wide"), (F.col("id") % 3).alias("c"))
+        found = K.number(df, ["k"], "n")
+        assert found.filter("n <> k + 1").count() == 0 and found.agg(F.count("*"), F.count_distinct("n")).first() == (rows, rows)
+        # one key has half of all rows
+        hot = df.withColumn("g", F.when(F.col("k") % 2 == 0, "hot").when(F.col("k") % 7 > 0, (F.col("k") % 50).cast("string")))
+        own = K.number_within(hot, "g", ["k"], "n")
+        got = own.groupBy("g").agg(F.count("*").alias("rows"), F.count_distinct("n").alias("numbers"), F.max("n").alias("last"), F.min("n").alias("first"))
+        assert got.filter("rows <> numbers or last <> rows or first <> 1").count() == 0 and got.agg(F.sum("rows")).first()[0] == rows
+        assert got.filter("g is null").count() == 1
+        ranks = K.percentile_rank(df, "c", "r").groupBy("c").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count("*").alias("n")).orderBy("c").collect()
+        assert [(round(r["a"], 9), round(r["b"], 9), r["n"]) for r in ranks] == [(round((k + 1) / 3, 9),) * 2 + (rows // 3,) for k in range(3)]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_sorts_by_several_keys(spark):
+    df = spark.createDataFrame([("b", 5, 9), ("a", 5, 7), ("a", 5, 9), ("c", 1, 2), ("a", 1, 3)], "seq_id string, start long, end long")
+    got = [tuple(r)[:3] for r in K.number(df, W.genomic_order(["b", "a"]), "n").orderBy("n").collect()]
+    assert got == [("c", 1, 2), ("b", 5, 9), ("a", 1, 3), ("a", 5, 7), ("a", 5, 9)]
+
+
+@pytest.mark.parametrize("region", [None, 7, 1000])
+def test_islands_are_what_joining_gives(spark, region):
+    from locusframe.operators.ranges import islands
+
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), (lo := rng.randint(0, 300)), lo + rng.randint(0, rng.choice((3, 60)))) for _ in range(120)]
+    rows += rows[:20]
+    for gap in (0, 3):
+        want = []
+        for s in "ab":
+            for a, b in sorted((a, b) for q, a, b in rows if q == s):
+                if want and want[-1][0] == s and a <= want[-1][2] + gap:
+                    want[-1][2:] = [max(want[-1][2], b), want[-1][3] + 1]
+                else:
+                    want.append([s, a, b, 1])
+        df = spark.createDataFrame(rows, "seq_id string, start long, end long")
+        assert sorted(list(r) for r in islands(df, ["seq_id"], gap, region=region).collect()) == want
+
+
+def test_trimmed_mean_of_ties(spark):
+    from locusframe.operators.collect import profile_summary
+
+    rng = random.Random(6)
+    values = [float(rng.choice((1, 1, 1, 2, 5, 40))) for _ in range(730)]
+    a, n = sorted(values), len(values)
+    x = round(n / 100)
+    df = spark.createDataFrame([(3, v) for v in values] + [(9, 4.0), (9, None)], "win_start int, value double")
+    got = {r["win_start"]: (r["n"], r["value"]) for r in profile_summary(df, "trimmean").collect()}
+    assert got[3][0] == n and abs(got[3][1] - sum(a[x : n - x + 1]) / (n - 2 * x)) < 1e-9 and got[9] == (1, 4.0)
+
+
+def test_wig_blocks_go_on_over_regions(spark):
+    from locusframe.sources.sinks import wig_lines
+
+    rows = [("a", s, 1.5) for s in (1, 11, 21, 41, 51, 2_000_001)] + [("b", 10, 2.0)]
+    df = spark.createDataFrame(rows, "seq_id string, start long, score double")
+    for region in (15, 1_000_000):
+        got = [r["line"] for r in wig_lines(df, "fixed", 10, region=region).filter("part = 0").orderBy("seq_id", "start").collect()]
+        assert [x.split("start=")[1].split()[0] for x in got] == ["1", "41", "2000001", "10"]
 
 
 def test_slop_keeps_neighbours_of_those_gone(spark):

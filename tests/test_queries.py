@@ -54,7 +54,7 @@ def test_bases_of_all_regions_are_scored(spark, few):
     for k, _, a, b, c, d, v in pairs:
         for pos in range(max(a, c), min(b, d) + 1):
             want.setdefault((k, pos), []).append(v)
-    got = {(r["rid"], r["pos"]): r["score"] for r in entry.queries()["base_scores_all"](spark, top).collect()}
+    got = {(r["rid"], r["pos"]): r["score"] for r in entry.queries()["base_scores"](spark, top).collect()}
     assert got.keys() == want.keys() and any(k % 10 for k, _ in got)
     assert all(abs(got[k] - sum(v) / len(v)) < 1e-5 for k, v in want.items())
 
@@ -63,7 +63,7 @@ def test_positions_avoid_all_neighbours(spark, few):
     top, own, pairs = few
     points = {(k, s, (c + d) // 2) for k, s, a, b, c, d, _ in pairs if a <= (c + d) // 2 <= b}
     want = {(k, pos) for k, s, pos in points if not any(q == s and o != k and a <= pos <= b for o, q, a, b in own)}
-    assert {(r["rid"], r["pos"]) for r in entry.queries()["avoid_all_neighbours"](spark, top).collect()} == want and want
+    assert {(r["rid"], r["pos"]) for r in entry.queries()["avoid_neighbours"](spark, top).collect()} == want and want
 
 
 def test_each_region_is_met(spark, few):
@@ -72,7 +72,7 @@ def test_each_region_is_met(spark, few):
     for k, _, _, _, c, d, _ in pairs:
         lo, hi = want.get(k, (c, d))
         want[k] = (min(lo, c), max(hi, d))
-    got = {r["rid"]: r["value"] for r in entry.queries()["each_region_all"](spark, top).collect()}
+    got = {r["rid"]: r["value"] for r in entry.queries()["each_region"](spark, top).collect()}
     assert got == {k: hi - lo + 1 for k, (lo, hi) in want.items()} and any(k % 50 for k in got)
 
 
@@ -91,7 +91,7 @@ def test_all_transcripts_are_spliced(spark, few):
                 if a <= p <= b:
                     want.setdefault((tid, before + (p - a if st >= 0 else b - p)), []).append(n)
             before += b - a + 1
-    got = {(r["transcript_id"], r["pos"]): r["score"] for r in entry.queries()["spliced_positions_all"](spark, few[0]).collect()}
+    got = {(r["transcript_id"], r["pos"]): r["score"] for r in entry.queries()["spliced_positions"](spark, few[0]).collect()}
     assert got.keys() == want.keys() and {tid[-1] for tid, _ in got} == set("ANR")
     assert all(abs(got[k] - sum(v) / len(v)) < 1e-5 for k, v in want.items())
 
