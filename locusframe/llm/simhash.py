@@ -11,10 +11,13 @@ Trees belong to the shard of a key and are grown where the shard is: sending all
 executor, or fingerprints to the driver, would grow with the corpus.
 
 near_copies() has another rule: a Jaccard similarity over 5-word shingles of 0.8 at least. Fingerprints
-of such pairs differ in about ten bits, and often in more, so no radius finds them all; prefixes do.
+of such pairs differ in about ten bits and often in more, so no keys of blocks find them. There the
+shards of the trees are the shingles that similar sets must share (prefixes), the radius is wide, and
+what the trees find is compared exactly.
 
 Cases: null and wordless texts have fingerprint zero and are linked like any other; repeated rows
-each get a row; a null id takes part in links, but is no component's id unless nothing else is.
+each get a row; a null id takes part in links, but is no component's id unless nothing else is; texts
+of any length are read whole; an empty table gives no rows; columns of docs may have any names.
 """
 
 from __future__ import annotations
@@ -29,15 +32,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ROWS, annotate, checkpointed, octets, small_batches, table
+from ._common import annotate, checkpointed, octets, small_batches, table
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Words of a shingle and least similarity (as a fraction) of near copies.
 WORDS, SIMILAR = 5, (4, 5)
+#: Bits in which fingerprints of similar sets may differ, by size. At 0.8 they differ in 10 on average (12 for small sets), with a
+#: deviation of 3: one pair in a million is beyond.
+SMALL, RADII = 125, (30, 24)
 #: Documents sampled for common shingles, how many of them have one, and how many shingles that may be.
 SAMPLE, OFTEN, COMMON = 2_000, 4, 500_000
-#: Parities kept of a set of shingles.
-BITS = 512
+#: A common shingle's documents are dealt to so many parts.
+SALTS = 64
+#: Parities kept of a set of shingles, at most.
+BITS = 4_096
+#: Sets of a shard that are compared in one task; a larger shard is dealt over pairs of such blocks.
+BLOCK = 4_000
 #: First bit and length of the five blocks of a fingerprint.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: A key with more distinct fingerprints than this is dealt on by its other bits.
@@ -57,15 +67,17 @@ def shingles(text: bytes, size: int = SHINGLE) -> list[bytes]:
     return [line[a:b] for a, b in zip(starts[: len(words) - size + 1].tolist(), (ends[size - 1 :] - 1).tolist())]
 
 
-def fingerprint(text: bytes, size: int = SHINGLE) -> int:
-    own = shingles(text, size)
-    if not own:
-        return 0
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in own), np.uint64, len(own))
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes (unsigned) have."""
     ones = np.zeros(64, np.int64)
     for lo in range(0, len(hashes), 1 << 16):
         ones += np.unpackbits(hashes[lo : lo + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(own)).tobytes(), "big")
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big") if len(hashes) else 0
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    own = shingles(text, size)
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in own), np.uint64, len(own)))
 
 
 def signed(n: int) -> int:
@@ -202,16 +214,35 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(now)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for each document."""
-    found = fingerprints(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text", size)
-    prints = checkpointed(found.select(F.col("row.doc_id").alias("doc_id"), F.col("out.fingerprint").alias("fp")))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(fingerprint_links(distinct.select("fp")))
-    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, text_hash, text): what tells rows apart even where ids repeat."""
+    text = F.col(f"`{text_col}`")
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+
+
+def join_hot(rows: DataFrame, named: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the one row of named that has their key. Keys that a thousandth of all rows share go by a broadcast (there are a thousand of them at most), the rest by a shuffle."""
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") >= max(total / 1_000, 10_000)).select(key)
+    hot = checkpointed(named.join(hot, key, "left_semi"))
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named, key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))
+
+
+def grouped_rows(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) from rows with fp and the roots (node, root) of linked fps."""
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    grouped = checkpointed(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")))
+    total, several = grouped.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = join_hot(grouped.select("fp", "root"), least, "root", several)
+    return join_hot(rows.select("doc_id", "text_hash", "fp"), names, "fp", total)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id) for each document; root names its group, component_id is the smallest id in it."""
+    found = fingerprints(identified(docs, id_col, text_col), "text", size)
+    prints = checkpointed(found.select("row.doc_id", "row.text_hash", F.col("out.fingerprint").alias("fp")))
+    return grouped_rows(prints, components(fingerprint_links(prints.select("fp").distinct())))
 
 
 def hash_set(text: bytes, size: int) -> np.ndarray:
@@ -220,7 +251,9 @@ def hash_set(text: bytes, size: int) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in own), np.uint64, len(own)).view(np.int64))
 
 
-def parities(own: np.ndarray, n: int = BITS) -> bytes:
+def parities(own: np.ndarray) -> bytes:
+    """Whether an odd number of members falls into each of 2 len(own) places or more, up to BITS."""
+    n = min(BITS, max(64, 1 << (2 * len(own) - 1).bit_length() if len(own) else 64))
     return np.packbits(np.bincount(own & (n - 1), minlength=n) & 1).tobytes()
 
 
@@ -237,6 +270,30 @@ def is_similar(common: int, a: int, b: int) -> bool:
     return q * common >= p * (a + b - common)
 
 
+def prefix(n: int) -> int:
+    """Of two similar sets in one order, one's first so many members hold one of the other's."""
+    p, q = SIMILAR
+    return n - (p * n + q - 1) // q + 1 if n else 0
+
+
+def radius_of(n: int) -> int:
+    return RADII[n >= SMALL]
+
+
+def may_be_similar(x: int, a: int, y: int, b: int) -> bool:
+    """Never false for similar sets of a and b members: parities x and y (of as many places) differ in no more places than the sets in members."""
+    p, q = SIMILAR
+    return q * min(a, b) >= p * max(a, b) and (p + q) * (x ^ y).bit_count() <= (q - p) * (a + b)
+
+
+def folded(bits: int, wide: int, to: int) -> int:
+    """Parities over fewer places: places that fall together are added up."""
+    while wide > to:
+        wide //= 2
+        bits = bits >> wide ^ bits & ((1 << wide) - 1)
+    return bits
+
+
 def common_hashes(docs: DataFrame, size: int) -> np.ndarray:
     """Hashes of shingles that many of a sample of documents have. Which they are decides the work to do, not what is found."""
     share = min(1.0, SAMPLE / max(1, docs.count()))
@@ -251,166 +308,193 @@ def common_hashes(docs: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r["h"] for r in rows], np.int64))
 
 
-def hashed(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, fp, hashes, bits): the set of shingles, common ones last, a hash of the set, and for each of BITS whether an odd number of members has it."""
+def sketched(docs: DataFrame, size: int) -> DataFrame:
+    """(doc_id, text_hash, fp, n, sim, bits, rare, often) of rows (doc_id, text_hash, text).
+
+    fp: a hash of the set of shingles; n: its size; sim: its SimHash; bits: its parities. rare and often: the prefix of
+    the set in an order that has common shingles last, which similar sets can't both miss; null where the task has given
+    that of an equal set before.
+    """
     given = docs.sparkSession.sparkContext.broadcast(common_hashes(docs, size))
 
-    def work(column):
-        prints, sets, bits = [], [], []
-        for text in octets(column):
-            own = hash_set(text, size)
-            prints.append(signed(xxhash.xxh64_intdigest(own.tobytes(), SEED)))
-            bits.append(parities(own))
-            last = within(own, given.value)
-            sets.append(np.concatenate([own[~last], own[last]]))
-        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-        return prints, pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *sets]), pa.int64())), bits
+    def make():
+        seen: set[int] = set()
 
-    fields = T.StructType([T.StructField("fp", T.LongType(), False), T.StructField("hashes", T.ArrayType(T.LongType()), False), T.StructField("bits", T.BinaryType(), False)])
-    found = annotate(docs, ["text"], lambda: work, fields)
-    return found.select(F.col("row.doc_id").alias("doc_id"), F.col("out.fp").alias("fp"), F.col("out.hashes").alias("hashes"), F.col("out.bits").alias("bits"))
+        def work(column):
+            out: list[list] = [[] for _ in range(6)]
+            for text in octets(column):
+                own = hash_set(text, size)
+                fp = signed(xxhash.xxh64_intdigest(own.tobytes(), SEED))
+                rare = often = None
+                if fp not in seen:
+                    last = within(own, given.value)
+                    k, first = prefix(len(own)), own[~last]
+                    rare, often = first[:k], own[last][: max(0, k - len(first))]
+                    if len(seen) < 500_000:
+                        seen.add(fp)
+                for c, v in zip(out, (fp, len(own), signed(majority(own.view(np.uint64))), parities(own), rare, often)):
+                    c.append(v)
+            return [*out[:4], *map(int64_lists, out[4:])]
 
+        return work
 
-def prefix(n: int) -> int:
-    """Of two similar sets in one order, one's first so many members hold one of the other's."""
-    p, q = SIMILAR
-    return n - (p * n + q - 1) // q + 1 if n else 0
+    longs = T.ArrayType(T.LongType())
+    fields = T.StructType([T.StructField("fp", T.LongType(), False), T.StructField("n", T.IntegerType(), False), T.StructField("sim", T.LongType(), False), T.StructField("bits", T.BinaryType(), False), T.StructField("rare", longs), T.StructField("often", longs)])
+    return annotate(docs, ["text"], make, fields).select("row.doc_id", "row.text_hash", "out.*")
 
 
-def may_be_similar(x: int, a: int, y: int, b: int) -> bool:
-    """Never false for similar sets of a and b members: their bits x and y differ in no more places than the sets in members."""
-    p, q = SIMILAR
-    return q * min(a, b) >= p * max(a, b) and (p + q) * (x ^ y).bit_count() <= (q - p) * (a + b)
+def int64_lists(rows: list) -> pa.Array:
+    """Lists of numbers, or null."""
+    ends = np.cumsum([0, *(0 if r is None else len(r) for r in rows)], dtype=np.int32)
+    values = np.concatenate([np.zeros(0, np.int64), *(r for r in rows if r is not None)])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, pa.int64()), mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
-def candidate_links(rows: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Links that join whatever may be similar among sets (fp, size, bits)."""
-    found: list[tuple[int, int]] = []
-    groups: list[list[tuple[int, int, int]]] = []
-    for row in rows:
-        fp, size, bits = row
-        own, rest = [row], []
-        for group in groups:
-            other = next((o for o in group if may_be_similar(bits, size, o[2], o[1])), None)
-            if other:
-                found.append((fp, other[0]))
-                own, group = (own, group) if len(own) > len(group) else (group, own)
-                own.extend(group)
-            else:
-                rest.append(group)
-        groups = [*rest, own]
-    return found
-
-
-def similar_groups(sets: list[tuple[int, np.ndarray]]) -> list[tuple[int, int]]:
-    """(fp, root) for each of the sets (fp, hashes): the smallest that it can reach over similar ones.
-
-    All pairs with a common member of their prefixes are compared, unless they are joined already.
-    """
-    up: dict[int, int] = {}
-    members: dict[int, np.ndarray] = {}
-    bits: dict[int, int] = {}
-    places: dict[int, dict[int, list[int]]] = {}  # member of several prefixes -> root -> sets
-    first, counts = np.unique(np.concatenate([h[: prefix(len(h))] for _, h in sets]), return_counts=True)
-    shared = first[counts > 1]
+def meetings(keys: DataFrame) -> DataFrame:
+    """(h, salt, fp, m) of rows (h, salt, fp): sets of a shard beside its least. A shard with one set has no row, unless it is one of several of its shingle."""
 
-    def root(x: int) -> int:
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # shingle, salt and least of the shard that goes on
+        for batch in batches:
+            h, salt, fp = (batch.column(k).to_numpy() for k in range(3))
+            if not len(h):
+                continue
+            new = np.r_[last is None or (h[0], salt[0]) != last[:2], (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
+            head = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+            m = np.where(head < 0, last[2] if last else 0, fp[head])
+            own = (fp != m) | (new & (salt > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(x[own]) for x in (h, salt, fp, m)], names=["h", "salt", "fp", "m"])
+            last = (h[-1], salt[-1], m[-1])
+
+    rows = keys.repartition(F.col("h"), F.col("salt")).sortWithinPartitions("h", "salt", "fp")
+    return rows.mapInArrow(run, "h long, salt int, fp long, m long")
+
+
+def close_pairs(members: list[tuple]) -> list[tuple[int, int]]:
+    """Pairs (a, b), a < b, of the sets (fp, label, n, sim, bits) of a shard that may be similar, found by a BK-tree of their SimHashes. Sets of one label are linked already."""
+    tree, places = BKTree(), {}
+    held: list[list[tuple]] = []
+    out = []
+    for fp, label, n, sim, bits in members:
+        wide, x = 8 * len(bits), int.from_bytes(bits, "big")
+        for k in tree.search_and_add(sim, radius_of(n)):
+            for other, its_label, size, its_wide, y in held[k] if k < len(held) else ():
+                if its_label != label and other != fp:
+                    w = min(wide, its_wide)
+                    if may_be_similar(folded(x, wide, w), n, folded(y, its_wide, w), size):
+                        out.append((min(fp, other), max(fp, other)))
+        if sim not in places:
+            places[sim] = len(held)
+            held.append([])
+        held[places[sim]].append((fp, label, n, wide, x))
+    return out
+
+
+def shard_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs that may be similar, of rows (h, fp, label, n, sim, bits) of shards h."""
+    many = rows.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    # a large shard's sets go to each task that compares their block with another
+    dealt = rows.join(many, "h").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).select("h", "_i", "_j", "fp", "label", "n", "sim", "bits")
 
-    for fp, hashes in sets:
-        up[fp], own, tried = fp, np.sort(hashes), set()
-        members[fp], bits[fp] = own, int.from_bytes(parities(own, 16 * BITS))  # more of them, for long texts
-        head = hashes[: prefix(len(hashes))]
-        for h in head[within(head, shared)].tolist():
-            groups = places.setdefault(h, {})
-            for r in list(groups):
-                if (now := root(r)) != r:
-                    groups.setdefault(now, []).extend(groups.pop(r))
-            for r, others in groups.items():
-                if root(r) == root(fp):
-                    continue
-                for k in others:
-                    if k not in tried:
-                        tried.add(k)
-                        other = members[k]
-                        if may_be_similar(bits[fp], len(own), bits[k], len(other)) and is_similar(len(np.intersect1d(own, other, assume_unique=True)), len(own), len(other)):
-                            a, b = root(fp), root(k)
-                            up[max(a, b)] = min(a, b)
-                            break
-            groups.setdefault(root(fp), []).append(fp)
-    return [(x, root(x)) for x in up]
-
-
-def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        for lo in range(0, len(batch), ROWS):
-            # lists as arrays of their own: objects would take many times the memory
-            columns = [[x.values.to_numpy(zero_copy_only=False).copy() for x in c] if pa.types.is_list(c.type) else c.to_pylist() for c in batch.slice(lo, ROWS).columns]
-            yield from zip(*columns)
-
-
-def packed(found: Iterator[list[tuple[int, int]]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The pairs of many lists in batches of some size."""
-    held: list[tuple[int, int]] = []
-    for pairs in chain(found, [None]):
-        held += pairs or []
-        if held and (pairs is None or len(held) > 10_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*held)], names=names)
-            held = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
+        found: set[tuple[int, int]] = set()
+        for _, shard in groupby(rows, lambda r: r[:3]):
+            found.update(close_pairs([(fp, label, n, sim % (1 << 64), bits) for *_, fp, label, n, sim, bits in shard]))
+            if len(found) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+                found = set()
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
+
+    place = ["h", "_i", "_j"]
+    return small_batches(dealt.repartition(*place).sortWithinPartitions(*place, "fp")).mapInArrow(run, "a long, b long").distinct()
+
+
+def similar_pairs(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
+    """Those of the pairs (a, b) of sets that are similar. The sets are made again from the texts, one text of each."""
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("fp")
+    key = (F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"))
+    one = rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(*key)).alias("k")).select("fp", "k.*")
+    texts_ = docs.select(*key, "text").join(one, ["_none", "_id", "_hash"]).select("fp", "text").dropDuplicates(["fp"])
+    both = pairs.join(texts_.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts_.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(lo, 100) for lo in range(0, len(batch), 100)):
+                a, b, x, y = part.column(0).to_pylist(), part.column(1).to_pylist(), octets(part.column(2)), octets(part.column(3))
+                sets: dict[int, np.ndarray] = {}
+                for k, text in chain(zip(a, x), zip(b, y)):
+                    if k not in sets:
+                        sets[k] = hash_set(text, size)
+                near = [is_similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])) for i, j in zip(a, b)]
+                yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+
+    return small_batches(both.select("a", "b", "x", "y")).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
-    """(doc_id, fp, component_id) for each document: groups by links of a Jaccard similarity of SIMILAR at least, over the sets of shingles.
+    """(doc_id, text_hash, fp, root, component_id) for each document: groups by links of a Jaccard similarity of SIMILAR at least, over the sets of shingles.
 
-    No such pair is missed: similar sets share a member of their prefixes, whatever order the members
-    have. Sets that share one and whose bits don't rule it out are candidates; each component of
-    candidates is compared where it lies.
+    Similar sets share a shingle of their prefixes, whatever order the shingles have; so each shingle of prefixes is a
+    shard. First each set is compared with the least of its shards, which joins most of a group of copies without any
+    pairs of it. Shards whose sets aren't all joined that way have their BK-trees searched; shards of the same sets count
+    once. What is found is compared exactly.
     """
-    rows = checkpointed(hashed(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), size).withColumn("n", F.monotonically_increasing_id()))
+    own = identified(docs, id_col, text_col)
+    rows = checkpointed(sketched(own, size))
+    sets = rows.groupBy("fp").agg(F.min("n").alias("n"), F.min("sim").alias("sim"), F.any_value("bits").alias("bits"))
+    dealt = F.concat(F.transform("rare", lambda h: F.struct(h.alias("h"), F.lit(0).alias("salt"))), F.transform("often", lambda h: F.struct(h.alias("h"), (F.pmod(F.xxhash64("fp"), F.lit(SALTS)) + 1).cast("int").alias("salt"))))
+    met = checkpointed(meetings(rows.filter("rare is not null").select("fp", F.explode(dealt).alias("k")).select("k.h", "k.salt", "fp")))
+
+    # each set and the least of its shard, and the leasts of a common shingle's shards
+    firsts = met.filter("salt > 0").groupBy("h").agg(F.min("m").alias("a"))
+    stars = met.select(F.col("m").alias("a"), F.col("fp").alias("b")).union(met.filter("salt > 0").select("h", "m").join(firsts, "h").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+    of = lambda side: sets.select(F.col("fp").alias(side), F.struct("n", "sim", "bits").alias(f"{side}_"))
+    beside = stars.join(of("a"), "a").join(of("b"), "b")
     p, q = SIMILAR
-    many = F.size("hashes")
-    first = many - F.floor((p * many + q - 1) / q).cast("int") + 1
-    keys = rows.filter(many > 0).select("fp", F.explode(F.slice("hashes", 1, first)).alias("h"))
-    shared = keys.groupBy("h").agg(F.min("fp").alias("m"), F.max("fp").alias("x")).filter("m < x")
-    sizes = rows.select("fp", many.alias("size"), "bits").dropDuplicates(["fp"])
-    met = keys.join(shared.select("h"), "h").distinct().join(sizes, "fp").select("h", "fp", "size", "bits")
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups = groupby(unpacked(batches), lambda r: r[0])
-        return packed((candidate_links([(fp, size, int.from_bytes(bits)) for _, fp, size, bits in group]) for _, group in groups), ["a", "b"])
-
-    links = small_batches(met.repartition(F.col("h")).sortWithinPartitions("h", "fp")).mapInArrow(link, "a long, b long")
-    candidates = components(links)
-    whole = candidates.union(candidates.select("root", "root")).distinct().toDF("fp", "part")
-    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"))  # exact copies count once
-    own = rows.select("n", "hashes").join(distinct.join(whole, "fp").select("n", "fp", "part"), "n").select("part", "fp", "hashes")
+    reach = F.when(F.col("b_.n") < SMALL, RADII[0]).otherwise(RADII[1])
+    near = (q * F.least("a_.n", "b_.n") >= p * F.greatest("a_.n", "b_.n")) & (F.bit_count(F.col("a_.sim").bitwiseXOR(F.col("b_.sim"))) <= reach)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return packed((similar_groups([(fp, hashes) for _, fp, hashes in part]) for _, part in groupby(unpacked(batches), lambda r: r[0])), ["node", "root"])
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, x, m, y = (c.to_pylist() for c in batch.columns)
+            rows = [(i, j) for i, j, *two in zip(a, b, n, x, m, y) if close_pairs([(i, i, two[0], 0, two[1]), (j, j, two[2], 0, two[3])])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), ()))], names=["a", "b"])
 
-    roots = small_batches(own.repartition(F.col("part")).sortWithinPartitions("part", "fp")).mapInArrow(run, "node long, root long")
-    grouped = checkpointed(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = grouped.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return rows.select("doc_id", "fp").join(names, "fp").select("doc_id", "fp", "component_id")
+    tried = checkpointed(small_batches(beside.filter(near).select("a", "b", "a_.n", "a_.bits", F.col("b_.n").alias("m"), F.col("b_.bits").alias("y"))).mapInArrow(likely, "a long, b long"))
+    joined = checkpointed(similar_pairs(own, rows, tried, size))
+
+    members = met.select("h", "fp", "m").union(met.select("h", "m", "m")).distinct()
+    known = joined.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+    labelled = members.join(known, (F.col("m") == F.col("_a")) & (F.col("fp") == F.col("_b")), "left").select("h", "fp", F.coalesce("_a", "fp").alias("label"))
+    same = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).cast("decimal(38,0)")).alias("s"))
+    open_ = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *same).filter("lo < hi").groupBy("n", "x", "s").agg(F.min("h").alias("h")).select("h")
+    shards = labelled.join(open_, "h").join(sets, "fp").select("h", "fp", "label", "n", "sim", "bits")
+    more = similar_pairs(own, rows, shard_pairs(shards).join(tried, ["a", "b"], "left_anti"), size)
+    return grouped_rows(rows, components(joined.union(more)))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
-    """One document of each group that find gives, that of the smallest id, with all its columns.
+    """One row of each group that find gives, with all its columns.
 
-    Rows that repeat the kept id go to one of them; with no id at all nothing can be told apart and all such rows stay.
+    It is the row of the smallest id, of several with that id the one whose text has the smallest hash; ids that are null
+    come last. Of rows that agree in both, one stays. Ids may repeat and columns may have any names: rows are told apart
+    by id and text. Null and empty texts are a group.
     """
-    found = find(docs, id_col, text_col)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    same = F.col(f"`{id_col}`") == F.col("_kept_id")
-    kept_rows = docs.join(kept, same, "left_semi")
-    bare = docs.filter(F.col(f"`{id_col}`").isNull())
-    return kept_rows.dropDuplicates([id_col]).unionByName(bare)
+    key = (F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    kept = find(docs, id_col, text_col).groupBy("root").agg(F.min(F.struct(*key)).alias("k"))
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    kept = kept.select("k.none", text(F.col("k.id")).alias("id"), "k.hash").distinct()
+    ident = F.col(f"`{id_col}`")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), ident.isNull().alias("none"), text(ident).alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    names = ["none", "id", "hash"]
+    return rows.join(kept, names, "left_semi").dropDuplicates(names).select("row.*")
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the whole table by 3-word fingerprints within 3 bits. Every row has a row; see the module for odd texts and ids."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

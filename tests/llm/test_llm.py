@@ -450,7 +450,9 @@ def plain_copies(texts):
     return up
 
 
-def test_near_copies_are_all_that_are_similar(spark):
+@pytest.mark.parametrize("block", [3, 4000])
+def test_near_copies_are_all_that_are_similar(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK", block)
     rng = random.Random(3)
     texts = corpus()
     for k in range(12):
@@ -465,7 +467,43 @@ def test_near_copies_are_all_that_are_similar(spark):
     assert [found[k] for k in range(len(texts))] == groups
     kept = sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, docs_of(spark, texts), "").collect())
     assert kept == sorted(set(groups)) and len(kept) < len(set(plain_components([plain_print(t) for t in texts])))
-    assert simhash.near_copies(docs_of(spark, [])).count() == 0
+    assert simhash.near_copies(docs_of(spark, [])).count() == 0 and simhash.deduplicate(docs_of(spark, []), find=simhash.near_copies).count() == 0
+
+
+def test_a_chain_of_copies_is_one_group(spark):
+    """Neighbours are similar, the ends aren't, and none is like the least of all."""
+    texts, words = [], [f"v{k}" for k in range(400)]
+    for k in range(25):
+        texts.append(" ".join(words))
+        words[15 * k : 15 * k + 15] = [f"u{k}x{j}" for j in range(15)]
+    random.Random(1).shuffle(texts)
+    groups = plain_copies(texts)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    assert [found[k] for k in range(len(texts))] == groups and len(set(groups)) == 1
+
+
+@pytest.mark.parametrize("find", [simhash.near_duplicates, simhash.near_copies])
+def test_rows_that_are_no_copies_stay_though_their_ids_repeat(spark, find):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(1, one, "x"), (1, two, "y"), (1, two, "y"), (2, two, "z"), (None, three, "n"), (None, three, "n"), (None, one, "n"), (3, None, "e"), (4, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _kept_id string").withColumns({"row": F.lit(1), "root": F.lit(2), "hash": F.lit(3), "none": F.lit(4), "n": F.lit(5)})
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "", r["_kept_id"]) for r in simhash.deduplicate(docs, find=find).collect())
+    assert got == sorted([(False, 1, one, "x"), (False, 1, two, "y"), (True, 0, three, "n"), (False, 3, "", "e")])
+    assert simhash.deduplicate(docs, find=find).columns == docs.columns
+
+
+def test_parities_never_rule_out_what_is_similar():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(rng.integers(4, 6000))
+        own = rng.integers(-(1 << 63), 1 << 63, n, np.int64)
+        cut = int(n * rng.uniform(0, 0.25))
+        other = np.concatenate([own[cut:], rng.integers(-(1 << 63), 1 << 63, int(rng.integers(0, cut + 1)), np.int64)])
+        x, y = simhash.parities(own), simhash.parities(other)
+        w = 8 * min(len(x), len(y))
+        x, y = (simhash.folded(int.from_bytes(v, "big"), 8 * len(v), w) for v in (x, y))
+        if simhash.is_similar(n - cut, len(own), len(other)):
+            assert simhash.may_be_similar(x, len(own), y, len(other))
 
 
 # ---- toxicity ------------------------------------------------------------------------------------
@@ -514,7 +552,7 @@ def test_pipeline(spark, tmp_path):
     rows = speech(200)
     key = "0f3a9c" * 6 + "9b1d"
     more = [("a clean text " + " ".join(f"w{k}x{j}" for j in range(40)), 0) for k in range(6)]
-    texts = [(t, y) for _, t, y in rows] + more + [more[0], (more[1][0] + f' token = "{key}"', 0)]
+    texts = [(t, y) for _, t, y in rows] + more + [more[0], (more[1][0] + f' token = "{key}"', 0), (" ".join(f"z{j}" for j in range(40)) + f' token = "{key}"', 0)]
     item = " ".join(more[2][0].split()[5:20])
     docs = [(k, t, "en", "s1", len(t)) for k, (t, _) in enumerate(texts)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
@@ -530,12 +568,11 @@ def test_pipeline(spark, tmp_path):
         assert name == "tokens" or df.columns == columns
     toxic = {k for k, (_, y) in enumerate(texts) if y}
     assert kept[0] == set(range(len(texts))) - toxic
-    prints = {k: plain_print(texts[k][0]) for k in sorted(kept[0])}
-    names = sorted(prints)
-    assert kept[1] == {names[k] for k in plain_components([prints[n] for n in names])} and 206 not in kept[1]
+    names = sorted(kept[0])
+    assert kept[1] == {names[k] for k in plain_copies([texts[n][0] for n in names])} and not {206, 207} & kept[1]
     assert kept[1] - kept[2] == {202} and kept[2] == kept[3] == kept[4]
     own = {r["doc_id"]: r["decoded_sha256"] for r in df.collect()}
     clean = texts[200][0]
     assert own[200] == hashlib.sha256(clean.encode()).hexdigest()
-    assert own.get(207) in (None, hashlib.sha256((more[1][0] + ' token = "[SECRET]"').encode()).hexdigest())
+    assert own[208] == hashlib.sha256((" ".join(f"z{j}" for j in range(40)) + ' token = "[SECRET]"').encode()).hexdigest()
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == kept[4]
