@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -229,9 +230,9 @@ def test_pages(spark):
     other = "<div id=content><p>Some text of the page<p>and more of it</div><section class=comments><p>I like this very much, dear author</section>"
     rows = [(k, PAGE.format(body)) for k in range(3)] + [(3, PAGE.format(other)), (4, None), (5, ""), (6, "plain words"), (7, "<p>open <!-- never closed"), (8, "<script>only"), (9, "<b>" * 3000 + "deep")]
     pages = spark.createDataFrame(rows, "page_id long, html string")
-    weights = html_text.learn(pages)
-    assert "article" not in weights
-    out = {r["row"]["page_id"]: r["out"]["text"] for r in html_text.extract_main_text(pages, weights).collect()}
+    model = html_text.learn(pages)
+    assert "article" not in model["weights"] and model["weights"]["p"] > 0 > model["weights"]["nav"]
+    out = {r["row"]["page_id"]: r["out"]["text"] for r in html_text.extract_main_text(pages, model).collect()}
     assert out[0] == out[2] == "Title & more One two three four five six seven"
     assert out[3] == "Some text of the page and more of it"
     assert [out[k] for k in range(4, 10)] == ["", "", "plain words", "open", "", "deep"]
@@ -245,6 +246,42 @@ def test_names_of_the_whole_page_do_not_silence_it():
     assert html_text.main_text(f"<p>{text}<div class=sidebar-left>Links</div><div class=related>More</div>", {}) == text
 
 
+def test_inline_adverts_and_comments_that_are_articles_go():
+    page = '<article><p>Hello there wor<b>ld</b> <span class="ad">Buy <b>this</b> now</span> and the end of it</p></article><section class=comments><article class=comment><p>I like this</article></section>'
+    assert html_text.main_text(page, {}) == "Hello there world and the end of it"
+
+
+def test_run_and_weights_both_count():
+    """Pages without any names: what is learned of marked pages says which tags stand in an article, the run cuts the rest off."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(rng.choices(("one", "two", "three", "four"), k=n))
+    body = lambda: "<h1>" + text(5) + "</h1>" + "".join(f"<p>{text(rng.randint(1, 30))}</p>" for _ in range(5))
+    found = {}
+    for _ in range(50):
+        html_text.counted(f"<html><body><nav><ul><li><a>{text(1)}</a></li><li><a>{text(1)}</a></li></ul></nav><div class=ad>{text(9)}</div><article>{body()}</article><footer>{text(6)}</footer>", found)
+    model = html_text.model_of([(*k, *n) for k, n in found.items()])
+    inner = body()
+    page = f"<html><body><div><ul><li><a>Home</a></li><li><a>News</a></li></ul></div><div>{text(9)}</div><div>{inner}</div><div>{text(6)}</div>"
+    want = " ".join(re.sub("<[^>]*>", " ", inner).split())
+    assert html_text.main_text(page, model) == want != html_text.main_text(page, {"bias": 1.0})
+    scores = html_text.best_run
+    try:
+        html_text.best_run = lambda s: (0, len(s))
+        assert html_text.main_text(page, model) != want
+    finally:
+        html_text.best_run = scores
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<div>x", "<", '<a ">', "<!", "<div class=a>", "<p>", "</b>", "<b>", "<li>x", "<!--", "<script>", "<p><b>", "<td><table>"])
+def test_hostile_pages_take_linear_time(piece):
+    def seconds(n):
+        page, began = piece * (n // len(piece)), time.process_time()
+        html_text.main_text(page, {})
+        return time.process_time() - began
+
+    assert seconds(400_000) < 8 * max(seconds(100_000), 0.05)
+
+
 def test_best_run_is_the_best():
     rng = random.Random(4)
     for _ in range(200):
