@@ -48,6 +48,8 @@ SALTS = 64
 BITS = 4_096
 #: Sets of a shard that are compared in one task; a larger shard is dealt over pairs of such blocks.
 BLOCK = 4_000
+#: Rows of a broadcast, of about 100 bytes each.
+SENT = 300_000
 #: First bit and length of the five blocks of a fingerprint.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: A key with more distinct fingerprints than this is dealt on by its other bits.
@@ -417,7 +419,9 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int)
     """Those of the pairs (a, b) of sets that are similar. The sets are made again from the texts, one text of each."""
     wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("fp")
     key = (F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"))
-    one = rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(*key)).alias("k")).select("fp", "k.*")
+    one = checkpointed(rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(*key)).alias("k")).select("fp", "k.*"))
+    # texts stay where they are unless very many of them are wanted
+    one = F.broadcast(one) if one.count() <= SENT else one
     texts_ = docs.select(*key, "text").join(one, ["_none", "_id", "_hash"]).select("fp", "text").dropDuplicates(["fp"])
     both = pairs.join(texts_.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts_.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
 
