@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import annotate, table, texts
+from ._common import annotate, logistic, table, texts
 
 #: Labelled pages to learn from, at most, and the depth of elements to which is learned.
 SAMPLE, DEEP = 2_000, 200
@@ -248,11 +248,8 @@ def main_text(page: str, model: dict) -> str:
     return " ".join(text for k, text in enumerate(found) if a <= 2 * k + 1 < b and scores[2 * k + 1] > 0)
 
 
-def regression(patterns: list[tuple[frozenset[str], float, float]], rounds: int = 400) -> tuple[float, dict[str, float]]:
-    """Bias and weights of features, from patterns of features with how much of the text under them is inside and outside.
-
-    The likeliest under normal priors, by gradient steps that are scaled by each weight's own curvature.
-    """
+def regression(patterns: list[tuple[frozenset[str], float, float]]) -> tuple[float, dict[str, float]]:
+    """Bias and weights of features, from patterns of features with how much of the text under them is inside and outside."""
     names = sorted({f for own, _, _ in patterns for f in own})
     total = sum(i + o for _, i, o in patterns)
     if not total:
@@ -263,14 +260,7 @@ def regression(patterns: list[tuple[frozenset[str], float, float]], rounds: int
     row = np.concatenate([np.full(len(own) + 1, k) for k, (own, _, _) in enumerate(patterns)])
     column = np.concatenate([[*(index[f] for f in sorted(own)), len(names)] for own, _, _ in patterns]).astype(np.int64)
     inside, outside = (np.array([p[k] for p in patterns]) * (LABELLED / total) for k in (1, 2))
-    # steps are bounded by the curvature of each weight times how many weights change together
-    width = np.bincount(row).max()
-    curve = np.bincount(column, weights=((inside + outside) / 4)[row], minlength=len(mean)) * width + precision
-    w = mean.copy()
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[column], minlength=len(patterns)), -30, 30)))
-        slope = np.bincount(column, weights=(inside - (inside + outside) * p)[row], minlength=len(mean)) - precision * (w - mean)
-        w += slope / curve
+    w = logistic(row, column, inside, outside, mean, precision)
     return float(w[-1]), dict(zip(names, w[:-1].tolist()))
 
 

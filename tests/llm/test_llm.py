@@ -559,13 +559,41 @@ def speech(n=400):
     return rows
 
 
+PLAIN_WORDS = {"idiot": 50, "moron": 50, "pathetic": 50, "there": 500, "thing": 500, "seen": 90, "cool": 60}
+
+
 def test_disguises():
-    model = toxicity.CharModel({"idiot": 50, "moron": 50, "pathetic": 50, "there": 500, "thing": 500})
-    for text, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i d i o t", "idiot"), ("p@thet1c", "pathetic"), ("idiooot", "idiot"), ("m.o.r.o.n", "moron")):
-        assert [toxicity.restore(t, model) for t in toxicity.disguised(text)] == [word]
+    model = toxicity.CharModel.of(PLAIN_WORDS)
+    for text, word in (("1d10t", "idiot"), ("m0r0n", "moron"), ("i d i o t", "idiot"), ("p@thet1c", "pathetic"), ("idiooot", "idiot"), ("m.o.r.o.n", "moron"), ("a m0r0n, there", "moron")):
+        assert [toxicity.restore(t, model) for _, _, t in toxicity.disguised(text)] == [word]
     assert list(toxicity.disguised("there are 12 things, e.g. a b.")) == []
 
 
+def test_what_is_no_disguise_stays():
+    model = toxicity.CharModel.of(PLAIN_WORDS)
+    plain = lambda t: toxicity.restore(t, model)
+    assert toxicity.restored("you (1d10t) there, m 0 r 0 n!", plain)[0] == "you (idiot) there, moron!"
+    for text in ("sha 9f86d081884c7d659a2feaa0c55ad015", "x1y2z3 k9q", "llll", "tel +49 30 123456", "u s a b q z k", "", "$$$ 100"):
+        assert toxicity.restored(text, plain) == (text, [])
+
+
+def test_restoring_is_the_best_of_all_ways():
+    """Viterbi against all texts that the lattice holds."""
+    model = toxicity.CharModel.of(PLAIN_WORDS)
+
+    def score(word, cost):
+        line = "^" * (toxicity.ORDER - 1) + word + "$"
+        return cost + sum(model.log(line[k - toxicity.ORDER + 1 : k], line[k]) - toxicity.NOISE for k in range(toxicity.ORDER - 1, len(line)))
+
+    for token in ("1d10t", "m0rr0n", "th1ngg", "idiiot", "c00l", "5een", "q8x7"):
+        ways = [("", 0.0)]
+        for choices in toxicity.lattice(token):
+            ways = [(w + c, s + cost) for w, s in ways for c, cost in choices]
+        best = max(score(*w) for w in ways)
+        got = toxicity.restore(token, model)
+        assert got is None and best <= 0 or any(w == got and score(w, s) == pytest.approx(best) for w, s in ways)
+
+
 def test_toxicity(spark):
     rows = speech()
     docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows] + [(900, None, "x"), (901, "", "x"), (902, "the you 1d10t there m0ron p a t h e t i c", "x"), (902, "th " * 9000, "x")], "doc_id long, text string, score string")
@@ -579,7 +607,33 @@ def test_toxicity(spark):
     assert [s >= 0.7 for i, s, _ in more] == [i == 902 and bool(back) for i, s, back in more] and any(b for *_, b in more)
     none = toxicity.learn(docs, labels.limit(0))
     assert none["weights"] == {} and toxicity.score_toxicity(docs, none).count() == len(out)
-    assert toxicity.reject_toxic(docs, known).columns == docs.columns
+    assert toxicity.learn(docs, labels.filter("toxic = 0"))["weights"] == {} and toxicity.learn(docs.limit(0), labels)["weights"] == {}
+    assert toxicity.reject_toxic(docs, known).columns == docs.columns and toxicity.score_toxicity(docs.limit(0), known).count() == 0
+
+
+def test_disguised_texts_are_scored_as_what_they_say(spark):
+    """Every insult of a text disguised: its prediction is that of the plain text, and another without restoring."""
+    rows = speech()
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    known = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    swaps = [{"idiot": "1d10t", "moron": "m0ron", "pathetic": "p@thet1c"}, {"idiot": "i d i o t", "moron": "m-o-r-o-n", "pathetic": "paaathetic"}]
+    texts = [(i, " ".join(how.get(w, w) for w in t.split())) for i, t, y in rows if y for how in swaps]
+    assert min(r["out"]["score"] for r in toxicity.score_toxicity(spark.createDataFrame(texts, "doc_id long, text string"), known).collect()) >= 0.7
+    blind = known | {"grams": {}}
+    assert max(r["out"]["score"] for r in toxicity.score_toxicity(spark.createDataFrame(texts[::2], "doc_id long, text string"), blind).collect()) < 0.7
+    assert min(known["weights"].values()) < 0 < max(known["weights"].values()) or len(known["weights"]) > 2
+
+
+def test_the_regression_is_the_likeliest():
+    rng = np.random.default_rng(3)
+    x = rng.random((200, 6)) < 0.4
+    y = (x @ np.array([2.0, -1, 0, 0.5, 0, 1]) + rng.normal(size=200) > 0.8).astype(float)
+    row, column = np.nonzero(x)
+    mean, precision = np.array([0.0, 0, -4, 0, 0, 0]), np.array([1.0, 2, 3, 1, 1, 0.5])
+    w = _common.logistic(row, column, y * 3, 1 - y, mean, precision)
+    p = 1 / (1 + np.exp(-(x @ w)))
+    slope = x.T @ (3 * y - (3 * y + 1 - y) * p) - precision * (w - mean)
+    assert np.abs(slope).max() < 1e-4
 
 
 # ---- the pipeline --------------------------------------------------------------------------------
