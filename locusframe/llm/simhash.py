@@ -416,7 +416,7 @@ def shard_pairs(rows: DataFrame) -> DataFrame:
 
 
 def similar_pairs(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are similar. The sets are made again from the texts, one text of each."""
+    """Those of the pairs (a, b) of sets, a checkpoint, that are similar. The sets are made again from the texts, one text of each."""
     wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("fp")
     key = (F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"))
     one = checkpointed(rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(*key)).alias("k")).select("fp", "k.*"))
@@ -477,7 +477,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     same = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).cast("decimal(38,0)")).alias("s"))
     open_ = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *same).filter("lo < hi").groupBy("n", "x", "s").agg(F.min("h").alias("h")).select("h")
     shards = labelled.join(open_, "h").join(sets, "fp").select("h", "fp", "label", "n", "sim", "bits")
-    more = similar_pairs(own, rows, shard_pairs(shards).join(tried, ["a", "b"], "left_anti"), size)
+    untried = checkpointed(shard_pairs(shards).join(tried, ["a", "b"], "left_anti"))
+    more = similar_pairs(own, rows, untried, size)
     return grouped_rows(rows, components(joined.union(more)))
 
 
