@@ -14,12 +14,14 @@ from ._common import checkpointed
 
 #: A word is common if it makes up 1 / SHARE of all; so there are at most SHARE common words.
 SHARE = 500_000
+#: Bytes of the longest word that may be common: words go to every task.
+LONGEST = 64
 #: Words counted together in a task before their counts are given out.
 BLOCK = 8_000_000
 
 
 def common_words(df: DataFrame, column: str, split: Callable[[str], list[str]], share: int = SHARE) -> DataFrame:
-    """(word, n): at most share words, each of at least 1 / share of all words of the column.
+    """(word, n): at most share words of at most LONGEST bytes, each of at least 1 / share of all words of the column.
 
     A word with that share has it in some block of the words too, so each task gives out only words
     that have it there: n is a lower bound of a word's count.
@@ -30,7 +32,7 @@ def common_words(df: DataFrame, column: str, split: Callable[[str], list[str]],
 
         def out() -> pa.RecordBatch:
             least = total / share
-            own = {w: n for w, n in counts.items() if n >= least and n > 1} | {"": total}
+            own = {w: n for w, n in counts.items() if n >= least and n > 1 and len(w.encode()) <= LONGEST} | {"": total}
             return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:

@@ -1,19 +1,25 @@
 """Language-model scores by a subword lattice.
 
-A word is a path through a lattice of vocabulary pieces, with the bytes of a character as a way around
-pieces that are not there. The forward recursion in log space sums over all segmentations and gives
-the word's marginal probability. The pieces are those of an existing vocabulary and keep its file's
-order; their weights are the shares of its own segmentation of the distinct training words (the
-file's scores are ranks of merges, not log probabilities). The lattice stands in for words the corpus leaves
-unseen: P(word) = (1 - u) c / N + u * lattice(word), u being the share of words seen once, so that the
-probabilities of all words and of the end of a text sum to one at most.
+A token is a path through a lattice from its first character to its last. Its arcs are the pieces of
+an existing vocabulary, the bytes of a character (a way around pieces that are not there) and, over
+the whole of it, the word as the corpus has it. The forward recursion in log space sums over all
+paths and gives the token's marginal probability; those of a text's tokens and of its end multiply
+to that of the text.
 
-Common words, at most SHARE of them, are scored where the text is; the others come together
-with their counts in a join on the word, so nothing that grows with the corpus is sent to every task.
+Weights are log probabilities. The vocabulary's file has ranks of merges instead, so those of pieces
+are learned: their shares of the vocabulary's own segmentation of the distinct training words. A
+whole-word arc has (1 - u) c / N, all other paths together u, the share of words seen once (what the
+corpus says of how much is new). So the probabilities of all words and of the end sum to one at most.
+
+Common words, at most SHARE of them and none longer than LONGEST bytes, are weighed once and their
+scores sent to where the texts are; the others come together with their counts in a join on the word,
+so nothing that grows with the corpus is sent to every task.
 
 Cases: null and empty texts are the end alone; held-out documents teach nothing; a text without white
 space is one word, of any length; repeated rows each get a row and each count; without training
-documents every token is unknown.
+documents every token is unknown; an empty table gives no rows; other columns may have any names. The
+documents have to be a table or a checkpoint, which give the same rows in the same order each time:
+rows are told apart by their place.
 """
 
 from __future__ import annotations
@@ -39,6 +45,8 @@ SMOOTH = 0.5
 END = b" "
 #: A word of this share of all is common; so there are at most as many common words as its inverse.
 SHARE = 1_000_000
+#: Bytes of the longest word that is sent to every task.
+LONGEST = 64
 #: Words of a task that are counted together.
 WORDS = 400_000
 
@@ -63,6 +71,12 @@ def load(path: str):
     return sentencepiece.SentencePieceProcessor(model_file=path)
 
 
+def added(a: float, b: float) -> float:
+    """The logarithm of a sum, from logarithms."""
+    high, low = (a, b) if a > b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
 class Lattice:
     """Log probabilities of words from the weights of pieces."""
 
@@ -71,7 +85,8 @@ class Lattice:
         self.pieces, self.octets, self.stop = pieces, octets_, stop
         self.begins = {p[:k] for p in pieces for k in range(1, len(p) + 1)}
 
-    def log(self, word: str) -> float:
+    def log(self, word: str, whole: float = -math.inf, share: float = 0.0) -> float:
+        """The sum over all paths. whole: the weight of the arc over the whole word; share: that of all other paths together."""
         text = "▁" + word
         n = len(text)
         pieces, begins = self.pieces, self.begins
@@ -102,7 +117,7 @@ class Lattice:
                     forward[j] = old + math.log1p(math.exp(w - old))
                 else:
                     forward[j] = w + math.log1p(math.exp(old - w))
-        return forward[n] + self.stop
+        return added(whole, share + forward[n] + self.stop)
 
 
 def lattice_weights(counts: dict[int, float], path: str) -> tuple[dict[str, float], list[float], float]:
@@ -160,7 +175,7 @@ def piece_counts(words: DataFrame, path: str) -> dict[int, float]:
 
 
 class Model:
-    """log10 probabilities of a token under the base and under the model, from its count and its lattice."""
+    """log10 probabilities of a token under the base and under the model, from its count and the lattice."""
 
     def __init__(self, tokens_: int, distinct: int, once: int) -> None:
         self.n = tokens_
@@ -170,14 +185,11 @@ class Model:
     def base(self, c: int) -> float:
         return math.log10((c + ALPHA) / self.denominator)
 
-    def log10(self, c: int, lattice: float | None) -> float:
-        """lattice: the natural log of the word's marginal; None for the end of a text, which no lattice makes."""
-        seen = math.log((1 - self.unseen) * c / self.n) if c else -math.inf
-        if lattice is None:
-            return (seen if c else math.log(0.5 / (self.n + 1))) / LOG10
-        rest = math.log(self.unseen) + lattice
-        high, low = max(seen, rest), min(seen, rest)
-        return (high + math.log1p(math.exp(low - high))) / LOG10
+    def log10(self, word: bytes, c: int, lattice: Lattice) -> float:
+        whole = math.log((1 - self.unseen) * c / self.n) if c else -math.inf
+        if word == END:  # no piece spells it
+            return (whole if c else math.log(0.5 / (self.n + 1))) / LOG10
+        return lattice.log(word.decode("utf-8", "replace"), whole, math.log(self.unseen)) / LOG10
 
 
 def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
@@ -190,17 +202,17 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
     lattice = sc.broadcast(lattice_weights(piece_counts(known, path), path))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        log = Lattice(*lattice.value).log
+        own = Lattice(*lattice.value)
         for batch in batches:
             names, counts = batch.column(0).to_pylist(), [c or 0 for c in batch.column(1).to_pylist()]
-            scores = [model.log10(c, None if w == END else log(w.decode("utf-8", "replace"))) for w, c in zip(names, counts)]
+            scores = [model.log10(w, c, own) for w, c in zip(names, counts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array([model.base(c) for c in counts], pa.float64()), pa.array(scores, pa.float64())], names=["word", "c", "base", "score"])
 
     weighed = "word binary, c long, base double, score double"
     # at most SHARE words make up 1 / SHARE of all each
-    head = known.filter(F.col("c") >= max(2.0, n / SHARE)).mapInArrow(weigh, weighed).toArrow()
+    head = known.filter((F.col("c") >= max(2.0, n / SHARE)) & (F.octet_length("word") <= LONGEST)).mapInArrow(weigh, weighed).toArrow()
     common = sc.broadcast((dict(zip(head.column("word").to_pylist(), range(len(head)))), *(head.column(c).to_numpy() for c in ("base", "score"))))
-    end = (model.base(0), model.log10(0, None))
+    end = (model.base(0), model.log10(END, 0, Lattice({}, [], 0.0)))
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("rid", T.LongType()), T.StructField("id", kind), T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType()), T.StructField("known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
 
@@ -236,7 +248,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Scores of the words; one that stands next to itself is weighed once."""
-        log = Lattice(*lattice.value).log
+        own = Lattice(*lattice.value)
         last, value, floor = None, 0.0, 0.0
         for batch in batches:
             known_, base_, score_, n_ = [], [], [], []
@@ -249,7 +261,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
                     n_.append(tf)
                     continue
                 if w != last:
-                    last, value, floor = w, model.log10(c, log(w.decode("utf-8", "replace"))), model.base(c)
+                    last, value, floor = w, model.log10(w, c, own), model.base(c)
                 known_.append(tf if c else 0)
                 base_.append(tf * floor)
                 score_.append(tf * value)
@@ -262,6 +274,7 @@ def score_texts(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model of those that aren't held out. Every row has a row; see the module for odd texts."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = score_texts(docs, docs.filter(remainder(F.col("doc_id"), 10) != 0))
     doc_id = F.col("row.doc_id")

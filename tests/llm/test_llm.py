@@ -118,10 +118,40 @@ def test_scores_without_training(spark):
     assert lm.score_texts(docs.limit(0), docs).count() == 0
 
 
-def test_probabilities_of_words_sum_to_one_at_most():
-    model = lm.Model(100, 10, 7)
-    counts = {"a": 60, "b": 33, "c": 7}
-    assert sum(10 ** model.log10(c, math.log(1e-30)) for c in counts.values()) <= 1
+def ways(text, arcs):
+    """The weights of all paths through a text."""
+    if not text:
+        return [1.0]
+    return [w * rest for k in range(1, len(text) + 1) for w in arcs.get(text[:k], ()) for rest in ways(text[k:], arcs)]
+
+
+def test_texts_are_scored_by_all_their_segmentations(spark, monkeypatch):
+    """Scores of whole documents against sums over every path of every token, with known, rare and new words."""
+    pieces = {"▁": 0.05, "▁a": 0.1, "a": 0.15, "b": 0.1, "ab": 0.2, "▁ab": 0.05, "é": 0.05}
+    octet, stop = 0.0005, 0.2
+    monkeypatch.setattr(lm, "lattice_weights", lambda counts, path: ({p: math.log(w) for p, w in pieces.items()}, [math.log(octet)] * 256, math.log(stop)))
+    texts = ["ab a ab", "AB b", "bb é", None, "", "ab", "a b aab", "x ab"] * 3
+    docs = docs_of(spark, texts)
+    held = lambda k: zlib.crc32(str(k).encode()) % 10 == 0
+    rows = {r["row"]["doc_id"]: r["score"] for r in lm.score_texts(docs, docs.filter(_common.remainder(F.col("doc_id"), 10) != 0)).collect()}
+    own = [(t or "").lower().split() for t in texts]
+    train = Counter(w for k, ws in enumerate(own) if not held(k) for w in [*ws, None])
+    n, once = sum(train.values()), sum(c == 1 for c in train.values())
+    u = min(0.5, max(once, 1) / n)
+    arcs = {p: [w] for p, w in pieces.items()}
+    for c in "▁abéx":
+        arcs.setdefault(c, []).append(octet ** len(c.encode()))
+    p = lambda w: (1 - u) * train[w] / n + (u * stop * sum(ways("▁" + w, arcs)) if w is not None else 0.0)
+    for k, ws in enumerate(own):
+        assert rows[k] == pytest.approx(sum(math.log10(p(w)) for w in [*ws, None]), rel=1e-9)
+    assert sum(p(w) for w in train) <= 1
+
+
+def test_long_words_are_not_sent_to_every_task(spark, monkeypatch):
+    long = "w" * 500
+    docs = docs_of(spark, [f"{long} a {long} b"] * 20)
+    assert {r["word"] for r in common_words(docs, "text", lambda t: t.split()).collect()} == {"a", "b"}
+    assert all(r["n_known"] == 5 and math.isfinite(r["score"]) for r in lm.score_texts(docs, docs).collect())
 
 
 # ---- nearest neighbours --------------------------------------------------------------------------
