@@ -14,4 +14,4 @@ QUERIES = {
     "op9_near_duplicates": simhash.op9_near_duplicates,
     "op10_toxicity": toxicity.op10_toxicity,
 }
-SQL = {**decontaminate.SQL}
+SQL = {**decontaminate.SQL, **repeats.SQL}

@@ -240,7 +240,9 @@ def _settle(contexts: np.ndarray, ids: np.ndarray, size: np.ndarray, out: np.nda
     wide = np.zeros((len(contexts), 2 * CONTEXT), np.uint8)
     wide[:, :CONTEXT] = np.where(np.arange(CONTEXT) < size[:, None], contexts[:, :CONTEXT], 0)
     text = np.lib.stride_tricks.sliding_window_view(wide, CONTEXT, axis=1)[which, at]
-    sa = np.argsort(np.ascontiguousarray(text).view(f"S{CONTEXT}").reshape(-1), kind="stable")
+    # a string that ends sorts before one that goes on with zero bytes
+    ended = np.c_[text, rest.astype(np.uint8)[:, None]]
+    sa = np.argsort(np.ascontiguousarray(ended).view(f"S{CONTEXT + 1}").reshape(-1), kind="stable")
     text, which, at, rest = text[sa], which[sa], at[sa], rest[sa]
     differ = text[1:] != text[:-1]
     common = np.where(differ.any(1), differ.argmax(1), CONTEXT)
@@ -251,9 +253,6 @@ def _settle(contexts: np.ndarray, ids: np.ndarray, size: np.ndarray, out: np.nda
     keep = np.flatnonzero(near)
     if not len(keep):
         return
-    if (contexts[:, :CONTEXT] == 0).sum() > (CONTEXT - size).sum():  # a zero byte sorts like the end of a context: settle equal strings first
-        head = np.cumsum(lcp[keep] < WIDTH) - 1
-        np.minimum.at(out, (which[keep], at[keep]), least_by(head, ids[which[keep]], head[-1] + 1)[head])
     found = maximal_repeats(lcp[keep], left[keep])
     if not found:
         return
@@ -406,4 +405,22 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of all documents that 50-byte strings of documents with smaller ids cover. Every row has a row; see the module for odd texts and ids."""
     return repeated_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), digests=True)
+
+
+SQL = {
+    "op7_repeats": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, i, md5_number(substr(h, 2*i+1, 100)) as s from (select doc_id, h, unnest(range(0, greatest(len(h)//2-49, 0))) as i from d)),
+f as (select s, min(doc_id) as m from w group by s),
+hit as (select doc_id, i from w join f using (s) where m < doc_id group by all),
+o as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as o from hit),
+k as (select doc_id, i, sum(o) over (partition by doc_id order by i rows unbounded preceding) as k from o),
+r as (select doc_id, k, min(i) as a, max(i)+50 as b from k group by all),
+g as (select r.doc_id, a, b, substr(h, 2*coalesce(lag(b) over (partition by r.doc_id order by a), 0)+1, 2*(a-coalesce(lag(b) over (partition by r.doc_id order by a), 0))) as before from r join d using (doc_id)),
+t as (select doc_id, sum(b-a) as n_removed, count(*) as n_spans, max(b) as last, string_agg(before, '' order by a) as kept from g group by doc_id)
+select d.doc_id, len(h)//2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2*coalesce(last, 0)+1))) as kept_sha256
+from d left join t using (doc_id)
+""",
+}
