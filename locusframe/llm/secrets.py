@@ -2,7 +2,7 @@
 
 Candidates are long tokens of letters with digits, values given to names like password or token, and
 blocks of private keys. A forest of decision trees judges each by its length, characters and their
-transitions, dictionary coverage, path and neighbouring words.
+transitions, dictionary coverage, path and the four words on either side.
 
 The forest learns from labelled findings: rows (text, start, end, path, secret), at most SAMPLE of
 them, those with the smallest hash. The corpus has no labels for secrets, so findings() makes such
@@ -11,7 +11,8 @@ commit ids, identifiers, numbers, file names, placeholders, long words).
 
 Cases: null and empty texts have no candidates; a null path is empty; candidates that overlap count
 once, the first; texts of any length are read whole; repeated rows each get a row; without labelled
-findings of both kinds the forest gives the share of secrets among them (none: a half).
+findings of both kinds the forest gives the share of secrets among them (none: a half); equal findings
+count as often as they are there; an empty table gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import random
 import re
 import string
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +34,8 @@ from ._common import annotate, table, texts
 SAMPLE = 4_000
 TREES, DEPTH, LEAF = 25, 8, 3
 THRESHOLD = 0.5
+#: Neighbouring words on either side, and characters in which they are looked for.
+NEAR, REACH = 4, 4_096
 MARK = "[SECRET]"
 
 #: Names before a secret, words before what is none, words of paths that hold examples.
@@ -75,6 +79,16 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def words_before(text: str, at: int) -> list[str]:
+    """The NEAR words before a place; the part of the text that is looked at grows until it has them."""
+    size = 64
+    while True:
+        found = WORD.findall(text, max(0, at - size), at)
+        if len(found) > NEAR or size >= min(at, REACH):
+            return found[-NEAR:]
+        size *= 4
+
+
 def transitions() -> np.ndarray:
     """Log probabilities of the next letter in plain words."""
     counts = np.ones((27, 27))
@@ -86,7 +100,7 @@ def transitions() -> np.ndarray:
 
 
 class Features:
-    NAMES = ("length", "entropy", "distinct", "digits", "upper", "signs", "hex", "switches", "transitions", "coverage", "prefix", "placeholder", "run", "uuid", "secret_name", "plain_name", "assigned", "quoted", "example_path", "slashes", "pem", "lower_words")
+    NAMES = ("length", "entropy", "distinct", "digits", "upper", "signs", "hex", "switches", "transitions", "coverage", "prefix", "placeholder", "run", "uuid", "secret_name", "plain_name", "plain_after", "assigned", "quoted", "example_path", "slashes", "pem", "lower_words")
 
     def __init__(self) -> None:
         self.log = transitions()
@@ -107,8 +121,8 @@ class Features:
         counts = Counter(value)
         classes = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s" for c in value]
         letters = [ord(c) - 96 if "a" <= c <= "z" else 0 for c in low]
-        near = [w.lower() for w in WORD.findall(text[max(0, a - 60) : a])[-4:]]
-        parts = [x for w in near for x in re.split(r"[_\-]", w)]
+        parts = [w.lower() for w in words_before(text, a)]
+        after = [m[0].lower() for m in islice(WORD.finditer(text, b, b + REACH), NEAR)]
         gap = text[max(0, a - 4) : a]
         paths = WORD.findall(path.lower())
         return [
@@ -128,6 +142,7 @@ class Features:
             float(bool(re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", value))),
             float(any(p in SECRET_NAMES for p in parts)),
             float(any(p in PLAIN_NAMES for p in parts)),
+            float(any(p in PLAIN_NAMES for p in after)),
             float(bool(re.search(r"[:=]", gap))),
             float(bool(re.search(r"[\"']\Z", gap))),
             float(any(p in EXAMPLE_PATHS for p in paths)),
@@ -190,7 +205,10 @@ def findings(n: int = SAMPLE, seed: int = 11) -> list[tuple[str, int, int, str,
         around = words if rng.random() < 0.5 else odd
         head = around(rng.randint(0, 6))
         head += " " * bool(head) + before
-        tail = rng.choice(("\"", "'", "", "")) + " " + around(rng.randint(0, 6))
+        tail = rng.choice(("\"", "'", "", "")) + " "
+        if not k % 2 and rng.random() < 0.2:
+            tail += rng.choice(("(sha256) ", "is the commit ", "(checksum) ", "[build id] ", "md5 "))
+        tail += around(rng.randint(0, 6))
         path = rng.choice(("src/app.py", "config/settings.yml", ".env", "src7", "src12", "web/page", "")) if k % 2 or rng.random() < 0.7 else rng.choice(("tests/data.json", "docs/readme.md", "package-lock.json", "examples/run.sh"))
         out.append((head + value + tail, len(head), len(head) + len(value), path, k % 2))
     return out
@@ -315,6 +333,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_c
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents by the forest of the made findings. Every row has a row; see the module for odd texts."""
     found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     line = F.transform("out.spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
     return found.select(

@@ -243,6 +243,13 @@ def test_features_see_the_whole_value():
     assert dict(zip(make.NAMES, make.of(text + "x" * 5000, 0, len(text) + 5000, "")))["run"] == 5000
 
 
+def test_words_on_both_sides_count():
+    make, key = secrets.Features(), "0f3a9c" * 6 + "9b1d"
+    of = lambda text: dict(zip(make.NAMES, make.of(text, text.index(key), text.index(key) + len(key), "")))
+    assert of(f"{key} is the commit")["plain_after"] == 1 and of(f"{key} one two three four commit")["plain_after"] == 0
+    assert of(f"token ={' ' * 300}{key}")["secret_name"] == 1 and of(f"token one two three four {key}")["secret_name"] == 0
+
+
 def test_forest_learns_from_a_table(spark):
     rows = [(t, a, b, p, bool(y)) for t, a, b, p, y in secrets.findings(300)] + [(None, 0, 1, None, True)]
     labelled = spark.createDataFrame(rows, "text string, start int, end int, path string, secret boolean")
@@ -437,6 +444,24 @@ def test_more_spans(spark):
     rows = pii.find_personal_data(docs_of(spark, texts)).orderBy("row.doc_id").collect()
     kinds = [[s["kind"] for s in r["out"]["spans"]] for r in rows]
     assert [k[:1] for k in kinds[1:6]] == [["iban"], ["ssn"], [], [], []] and "login" in kinds[0] and len(kinds[6]) == 3000
+    assert pii.find_personal_data(docs_of(spark, [])).count() == 0
+
+
+def test_cues_and_what_follows_them():
+    automaton = pii.anchors()
+    got = lambda text: {k: [text[a:b] for a, b in v] for k, v in pii.spans(text, automaton).items() if v and k in pii.MORE_KINDS}
+    gb, de = "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000"
+    assert got(f"IBAN {gb} AND MORE") == {"iban": [gb]} and got(f"My iban is {de}, iban no. {gb}") == {"iban": [de, gb]}
+    assert got(f"Iban: {de.lower()}") == {"iban": [de.lower()]}
+    for text in (f"IBAN {gb}9", "IBAN GB82 WEST 1234 5698 7654", "iban", f"urbaniban {gb}", "IBAN XX82 1234", f"IBAN {gb[:-1]}3"):
+        assert got(text) == {}
+    for text in ("Ssn 123-45-6789", "SSN: 123-45-6789", "my social security number is 123-45-6789.", "Social Security No. 123-45-6789", "SOCIAL SECURITY 123-45-6789"):
+        assert got(text) == {"ssn": ["123-45-6789"]}
+    for text in ("lessn 123-45-6789", "ssn 000-45-6789", "ssn 123-00-6789", "ssn 123-45-67890", "ssns 123-45-6789"):
+        assert got(text) == {}
+    assert got("Account number: 1234-5678-90, acct #00 123 456 and a/c 7654321") == {"account": ["1234-5678-90", "00 123 456", "7654321"]}
+    for text in ("account of 12", "accountant 12345678", "account 12345", "account 123456789012345678"):
+        assert got(text) == {}
 
 
 # ---- near duplicates -----------------------------------------------------------------------------
