@@ -91,6 +91,8 @@ def to_intervals(df: DataFrame, interbase: bool | None = None) -> DataFrame:
     """_row if there is one, seq_id, start (from 1), end, strand, name, id, type and score of any table of features."""
     own = df.columns
     at = {w: role(own, w) for w in ROLES}
+    if at["id"] == at["seq_id"]:  # the name of a sequence is no feature's
+        at["id"] = None
     start = at["start"]
     zero = interbase if interbase is not None else bool(start and start.endswith("0"))
     s = col(start).cast("string").try_cast("long") + (1 if zero else 0) if start else F.lit(None).cast("long")

@@ -220,6 +220,24 @@ def binned_profile(regions: DataFrame, signal: DataFrame, method: str = "mean",
     return placed.groupBy(key, "bin").agg(reduce(method, F.col("r_score"), F.lit(True), F.col("r_name")).alias("value"))
 
 
+def bin_windows(regions: DataFrame, bins: int = 10) -> DataFrame:
+    """The bins of each region as intervals with their number, from the 5 prime end on."""
+    size = F.col("end") - F.col("start") + 1
+    out = regions.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    a, b = (F.rint((F.col("bin") + k) * (100.0 / bins * 0.01) * size).cast("long") for k in (0, 1))
+    forward = F.col("strand") >= 0
+    first = F.when(forward, F.col("start") + a).otherwise(F.col("end") - b + 1)
+    last = F.when(forward, F.col("start") + b - 1).otherwise(F.col("end") - a)
+    return out.withColumns({"_a": first, "_b": last}).withColumns({"start": F.col("_a"), "end": F.col("_b")}).drop("_a", "_b")
+
+
+def binned_long(regions: DataFrame, signal: DataFrame, method: str = "mean", bins: int = 10, key: str = "_row", strand: str = "all", width: int | None = None) -> DataFrame:
+    """(key, bin, value) for every bin of the length: rows of a signal count in each bin that they overlap, not only where their middle is."""
+    windows = bin_windows(regions.select(key, *INTERVAL), bins).withColumn("_bin_key", F.struct(F.col(key), F.col("bin")))
+    found = region_score(windows, signal, method, "_bin_key", strand, width, "value")
+    return found.select(key, "bin", "value")
+
+
 def wide_profile(regions: DataFrame, profile: DataFrame, places: list[int], key: str = "_row", at: str = "win_start", prefix: str = "w", empty=None) -> DataFrame:
     """A column for each of the given windows or bins."""
     table = profile.groupBy(key).pivot(at, places).agg(F.first("value"))

@@ -95,12 +95,16 @@ def sort_value(df: DataFrame, name: str, descending: bool = False) -> DataFrame:
     return df.orderBy(*value_order(name, descending))
 
 
-def sort_mean(df: DataFrame, names: list[str], how: str = "mean", descending: bool = True) -> DataFrame:
-    """By a statistic over several columns of a row."""
+def mean_order(names: list[str], how: str = "mean", descending: bool = True) -> list[Column]:
+    """Sort keys: a statistic over several columns of a row."""
     from .columns import combine
 
     value = combine(names, how)
-    return df.orderBy(value.desc_nulls_last() if descending else value.asc_nulls_last())
+    return [value.desc_nulls_last() if descending else value.asc_nulls_last()]
+
+
+def sort_mean(df: DataFrame, names: list[str], how: str = "mean", descending: bool = True) -> DataFrame:
+    return df.orderBy(*mean_order(names, how, descending))
 
 
 #: Sex and mitochondrial sequences, in order.

@@ -124,3 +124,9 @@ def fasta_joined(df: DataFrame, by: str, order: list[str], pad: int = 0, sequenc
 
 def chromosome_lines(lengths: DataFrame) -> DataFrame:
     return lengths.select(F.concat_ws("\t", "seq_id", F.col("length").cast("string")).alias("line"))
+
+
+def write_groups(df: DataFrame, groups: dict[str, str], path: str) -> None:
+    """A file that says which data set each column of a table is from: names and groups, for what draws them together."""
+    rows = [(f"{c}\t{groups[c]}",) for c in df.columns if c in groups]
+    df.sparkSession.createDataFrame([("Name\tDataset",), *rows], "line string").coalesce(1).write.mode("overwrite").text(path)
