@@ -7,15 +7,17 @@ one substring at least, so probing every bucket within that distance finds every
 vectors behind them are then ranked by their exact inner products.
 
 Vectors are first brought down to distinct ones with the smallest ids of their copies, so a vector
-that a third of all rows repeat is one entry. Blocks of distinct vectors meet blocks of queries; a
-block holds its indices only while its task runs, and gives each query its best few.
+that a third of all rows repeat is one entry. Distinct vectors are dealt into parts of PART at most,
+each met by each block of queries in a task of its own: memory and tasks follow the data, whatever
+their size. A task indexes its part block by block and gives each query its best few.
 
 The radius is the one within which SHARE of the true neighbours lie, on a sample of queries and
 vectors; a query that finds fewer than k + 1 codes in a block widens it there.
 
 Cases: vectors that are null, zero, of another length than most, or with null or non-finite
 components take no part; equal scores rank by the smaller id; a query's own row is no candidate but
-its copies are; with fewer candidates than k all are returned; an empty table gives no rows.
+its copies are; with fewer candidates than k all are returned; repeated rows are copies; an empty table
+gives no rows; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -34,10 +36,8 @@ SAMPLE, SAMPLE_QUERIES = 4_000, 100
 #: Share of the true neighbours, on the sample, that the radius has to take in.
 SHARE = 0.97
 SUBSTRING = 8
-#: Tasks, at least, that the blocks of vectors are dealt to.
-TASKS = 12
-#: Vectors and queries in a block.
-BLOCK, QUERY_BLOCK = 4_096, 2_048
+#: Vectors and queries in a block, and vectors that a block of queries meets in one task.
+BLOCK, QUERY_BLOCK, PART = 4_096, 8_192, 131_072
 
 
 def learn_codes(x: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +147,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     radius = radius_of(x, mean, rotation, k, total)
     asked = clean(queries, id_col, vector_col).filter(F.size("v") == width)
     n_q = max(1, -(-asked.count() // QUERY_BLOCK))
-    spread = max(1, TASKS // n_q)
+    # parts of bounded size, and enough of them for all cores
+    spread = max(1, -(-2 * spark.sparkContext.defaultParallelism // n_q), -(-total // PART))
+    block = max(256, min(BLOCK, total // (4 * spread)))
 
     def flat(column: pa.ChunkedArray | pa.Array) -> bytes:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -158,11 +160,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
     def pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), BLOCK):
-                part = batch.slice(lo, BLOCK)
+            for lo in range(0, len(batch), block):
+                part = batch.slice(lo, block)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.list_(pa.int64()))), pa.array([flat(part.column(1))], pa.binary())], names=["ids", "v"])
 
-    # a block of queries is met by every block of vectors; it is copied so that many tasks share the work
+    # a block of queries is copied to each part of the vectors
     wanted = asked.withColumn("q", F.pmod(F.xxhash64("id"), F.lit(n_q)).cast("int"))
     wanted = wanted.groupBy("q").applyInArrow(pack_queries, "q int, q_ids array<long>, q_v binary")
     wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
@@ -199,5 +201,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
 
 
 def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each row whose id is divisible by 20, among all others; see the module for odd vectors."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return nearest(vectors, vectors.filter("vec_id % 20 = 0"))
