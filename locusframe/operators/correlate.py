@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,38 +62,37 @@ def anova(rows: DataFrame, key: str = "_row") -> DataFrame:
     return found.select(key, (F.col("n") - 1).alias("df"), F.try_divide(F.col("n") * F.col("m") * F.col("m"), F.col("v")).alias("f"))
 
 
+def _fraction(a: Column, b: Column, x: Column, steps: int = 300) -> Column:
+    """The continued fraction of the incomplete beta function, two of its levels a step; it has settled after some tens."""
+    away = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
+
+    def level(s: Column, n: Column) -> Column:
+        d, c = 1 / away(1 + n * s["d"]), away(1 + n / s["c"])
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    def step(s: Column, k: Column) -> Column:
+        m = k.cast("double")
+        one = level(s, m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)))
+        return level(one, -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)))
+
+    d = 1 / away(1 - (a + b) * x / (a + 1))
+    first = F.struct(F.lit(1.0).alias("c"), d.alias("d"), d.alias("h"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, step, lambda s: s["h"])
+
+
 def p_values(tests: DataFrame, key: str = "_row") -> DataFrame:
-    """-log10 of the probability of an F of 1 and df degrees of freedom, by a continued fraction of the incomplete beta."""
-
-    def run(batches):
-        import math
-
-        def beta(a: float, b: float, x: float) -> float:
-            front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
-            c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
-            d = 1.0 / (d or 1e-300)
-            h = d
-            for m in range(1, 500):
-                for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                    d, c = 1.0 / ((1.0 + num * d) or 1e-300), (1.0 + num / c) or 1e-300
-                    h *= c * d
-                if abs(c * d - 1.0) < 1e-12:
-                    break
-            return front * h / a
-
-        def p(f: float, df: float) -> float | None:
-            if f is None or df is None or df < 1 or f != f:
-                return None
-            if f <= 0:
-                return 0.0
-            x, a, b = df / (df + f), df / 2, 0.5
-            value = beta(a, b, x) if x < (a + 1) / (a + b + 2) else 1 - beta(b, a, 1 - x)
-            return -math.log10(max(value, 1e-300))
-
-        for pdf in batches:
-            yield pdf.assign(p=[p(None if f != f else f, d) for f, d in zip(pdf["f"], pdf["df"])])[[key, "p"]]
-
-    return tests.select(key, "f", F.col("df").cast("double")).mapInPandas(run, f"{key} {tests.schema[key].dataType.simpleString()}, p double")
+    """(key, p): -log10 of the probability of an F (f) of 1 and df degrees of freedom, df being whole; 0 without any F."""
+    df = F.col("df").cast("double")
+    x, y = df / (df + F.col("f")), F.col("f") / (df + F.col("f"))
+    a, b = df / 2, F.lit(0.5)
+    # 1 / B(df / 2, 1 / 2): 1 / pi or 1 / 2, times (k + 1) / k for every second k below df
+    least = 2 - F.col("df").cast("long") % 2
+    rises = F.when(F.col("df") >= least + 2, F.sequence(least, F.col("df").cast("long") - 2, F.lit(2).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    front = F.aggregate(rises, F.when(least == 1, F.lit(-math.log(math.pi))).otherwise(math.log(0.5)), lambda s, k: s + F.log((k + 1) / k.cast("double")))
+    front = F.exp(front + a * F.log(x) + b * F.log(y))
+    value = F.when(x < (a + 1) / (a + b + 2), front / a * _fraction(a, b, x)).otherwise(1 - front / b * _fraction(b, a, y))
+    p = F.when(F.col("f").isNull() | F.isnan("f") | (df < 1), None).when(F.col("f") <= 0, 0.0).otherwise(-F.log10(F.greatest(value, F.lit(1e-300))))
+    return tests.select(key, p.cast("double").alias("p"))
 
 
 def summary(found: DataFrame, column: str = "r") -> DataFrame:

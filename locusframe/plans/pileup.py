@@ -101,7 +101,15 @@ Q["optimal_shift"] = (
     f"with {PR}, h as (select unnest(range(-3,4)) as h), j as (select a.k, h, a.ref, b.test from pr a cross join h join pr b on a.k=b.k and a.pos=b.pos-h), c as (select k, h, case when stddev_pop(ref)<>0 and stddev_pop(test)<>0 then corr(ref,test) end as r from j group by all), b as (select *, row_number() over (partition by k order by floor(r*1e9+0.5) desc, abs(h), h) as n from c where r>0.1) select k as _row, h as shift, {r6_sql('r')} as r from b where n=1",
 )
 Q["anova_f"] = (lambda s, d: R.anova(pairs(s, d)).select("_row", F.col("df").cast("long").alias("df"), r6("f").alias("f")), f"with {PR} select k as _row, count(*)-1 as df, {r6_sql('case when var_samp(ref-test)<>0 then count(*)*avg(ref-test)*avg(ref-test)/var_samp(ref-test) end')} as f from pr group by k")
-Q["anova"] = (lambda s, d: R.p_values(R.anova(pairs(s, d))).select("_row", r6("p").alias("p")), None)
+Q["anova"] = (
+    lambda s, d: R.p_values(R.anova(pairs(s, d))).select("_row", r6("p").alias("p")),
+    # the power series of the incomplete beta function, where Spark has its continued fraction
+    f"""with {PR}, t as (select k, (count(*)-1)/2.0 as a, case when var_samp(ref-test)<>0 then count(*)*avg(ref-test)*avg(ref-test)/var_samp(ref-test) end as f from pr group by k),
+u as (select k, a, f, 2*a/(2*a+f) as x, f/(2*a+f) as y, lgamma(a+0.5)-lgamma(a)-lgamma(0.5) as g from t where a>0 and f>0),
+v as (select k, case when x < (a+1)/(a+2.5) then exp(a*ln(x)+0.5*ln(y)+g)/a*list_sum(list_transform(range(0,400), lambda n: exp(lgamma(a+0.5+n)-lgamma(a+0.5)-lgamma(a+1+n)+lgamma(a+1))*pow(x,n)))
+else 1-exp(a*ln(x)+0.5*ln(y)+g)/0.5*list_sum(list_transform(range(0,400), lambda n: exp(lgamma(a+0.5+n)-lgamma(a+0.5)-lgamma(1.5+n)+lgamma(1.5))*pow(y,n))) end as p from u)
+select t.k as _row, {r6_sql("case when f is null or a<=0 then null when f<=0 then 0.0 else -log10(greatest(p,1e-300)) end")} as p from t left join v using (k)""",
+)
 Q["shift_profile"] = (lambda s, d: R.shift_profile(pairs(s, d), 5).select("pos", r6("ref").alias("ref"), r6("test").alias("test")), f"with {PR} select pos//5*5 as pos, {r6_sql('avg(ref)')} as ref, {r6_sql('avg(test)')} as test from pr group by 1")
 Q["correlation_summary"] = (lambda s, d: R.summary(R.pearson(pairs(s, d))).select("n", r6("mean").alias("mean"), r6("median").alias("median")), f"with {PR}, c as (select case when stddev_pop(ref)<>0 and stddev_pop(test)<>0 then corr(ref,test) end as r from pr group by k) select count(r) as n, {r6_sql('avg(r)')} as mean, {r6_sql('quantile_cont(r,0.5)')} as median from c")
 Q["cross_strand"] = (
