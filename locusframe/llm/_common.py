@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -58,6 +59,15 @@ def arrow_list(values, kind: T.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, type=to_arrow_type(kind))
 
 
+def give_back() -> None:
+    """Memory that is free again goes back to the machine: workers are kept for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
 def annotate(df: DataFrame, inputs: list[str], make: Callable, fields: T.StructType) -> DataFrame:
     """Columns ``row`` (all of df's columns) and ``out`` (a struct of fields), one row for each of df.
 
@@ -77,6 +87,7 @@ def annotate(df: DataFrame, inputs: list[str], make: Callable, fields: T.StructT
             arrays = [arrow_list(v, f.dataType) for v, f in zip(found, fields, strict=True)]
             out = pa.StructArray.from_arrays(arrays, names=fields.names)
             yield pa.RecordBatch.from_arrays([row, out], names=["row", "out"])
+        give_back()
 
     return rows.mapInArrow(run, schema)
 

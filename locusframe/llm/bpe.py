@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_list, pack, parts, squeeze, table, unpack, unsqueeze
+from ._common import arrow_list, give_back, pack, parts, squeeze, table, unpack, unsqueeze
 from ._words import bucket, common_words
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -220,11 +220,12 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                 text = voc.decoded(line)
                 for column, value in zip(out, (name, len(line) // 4, *(make(line, text) for make in makers))):
                     column.append(value)
-        pa.default_memory_pool().release_unused()
+        give_back()
         return pa.Table.from_arrays([arrow_list(c, f.dataType) for c, f in zip(out, fields)], names=[f.name for f in fields])
 
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(join, T.StructType(fields))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all texts and of what they decode to. Every row has a row; see the module for odd texts."""
     return tokenize(table(spark, sf_dir, "documents").select("doc_id", "text"), columns=("ids_sha256", "decoded_sha256"))

@@ -5,7 +5,8 @@ back to code points of the original text.
 
 Cases: null, empty and wordless texts hit nothing; an item without words has no window; items that
 share a window all count; repeated document rows each get a row; an item id that is null is left
-out; an empty benchmark leaves every document clean; other columns of the documents pass through.
+out; an empty benchmark leaves every document clean, an empty table gives no rows; texts of any length are
+read whole; other columns of the documents, of any names, pass through.
 """
 
 from __future__ import annotations
@@ -132,6 +133,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text") ->
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents inside windows of the benchmark. Every row has a row; see the module for odd texts and items."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select(

@@ -405,7 +405,7 @@ def shard_pairs(rows: DataFrame) -> DataFrame:
         found: set[tuple[int, int]] = set()
         for _, shard in groupby(rows, lambda r: r[:3]):
             found.update(close_pairs([(fp, label, n, sim % (1 << 64), bits) for *_, fp, label, n, sim, bits in shard]))
-            if len(found) > 10_000:
+            if len(found) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
                 found = set()
         if found:
@@ -471,15 +471,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     tried = checkpointed(small_batches(beside.filter(near).select("a", "b", "a_.n", "a_.bits", F.col("b_.n").alias("m"), F.col("b_.bits").alias("y"))).mapInArrow(likely, "a long, b long"))
     joined = checkpointed(similar_pairs(own, rows, tried, size))
 
-    members = met.select("h", "fp", "m").union(met.select("h", "m", "m")).distinct()
-    known = joined.select(F.col("a").alias("_a"), F.col("b").alias("_b"))
-    labelled = members.join(known, (F.col("m") == F.col("_a")) & (F.col("fp") == F.col("_b")), "left").select("h", "fp", F.coalesce("_a", "fp").alias("label"))
+    # sets that are joined already have one label, whatever shard joined them
+    roots = components(joined)
+    members = met.select("h", "fp").union(met.select("h", "m")).distinct()
+    labelled = members.join(roots, members["fp"] == roots["node"], "left").select("h", "fp", F.coalesce("root", "fp").alias("label"))
     same = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).cast("decimal(38,0)")).alias("s"))
     open_ = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *same).filter("lo < hi").groupBy("n", "x", "s").agg(F.min("h").alias("h")).select("h")
     shards = labelled.join(open_, "h").join(sets, "fp").select("h", "fp", "label", "n", "sim", "bits")
     untried = checkpointed(shard_pairs(shards).join(tried, ["a", "b"], "left_anti"))
     more = similar_pairs(own, rows, untried, size)
-    return grouped_rows(rows, components(joined.union(more)))
+    return grouped_rows(rows, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:
