@@ -28,15 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_list, checkpointed, pack, parts, squeeze, table, unsqueeze
+from ._common import arrow_list, checkpointed, give_back, pack, parts, squeeze, table, unsqueeze
 
 WIDTH, GRAM = 50, 16
 #: Documents with an anchor beyond which its strings are dealt by their own hashes.
 HOT = 2_000
-#: Window starts that are worked on together.
-CHUNK = 1_000_000
+#: Window starts that are worked on together: their hashes stay in a core's cache.
+CHUNK = 1 << 15
+#: Bytes of text whose anchors share a bucket, about; more text has more buckets, not larger ones.
+BUCKET_BYTES = 16_000_000
 #: Bytes of a context, at most: a string for each place of its anchor.
 CONTEXT = 2 * WIDTH - GRAM
 NO_ID = np.iinfo(np.int64).max
@@ -64,25 +67,27 @@ def anchors(data: bytes, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     ends = np.cumsum(sizes)
     out: list[tuple[np.ndarray, ...]] = []
     per = WIDTH - GRAM + 1  # grams in a string
-    for lo in range(0, max(0, len(x) - WIDTH + 1), CHUNK):
-        hi = min(lo + CHUNK, len(x) - WIDTH + 1)  # starts lo .. hi - 1
+    n = max(0, len(x) - WIDTH + 1)
+    inside = np.ones(len(x), bool)  # starts of strings that end in their document
+    inside[np.maximum(np.repeat(ends - sizes, WIDTH - 1), (ends[:, None] - np.arange(1, WIDTH)).reshape(-1))[np.repeat(sizes > 0, WIDTH - 1)]] = False
+    number = np.arange(min(CHUNK, n) + per, dtype=np.uint64)
+    for lo in range(0, n, CHUNK):
+        hi = min(lo + CHUNK, n)  # starts lo .. hi - 1
+        start = np.flatnonzero(inside[lo:hi])
+        if not len(start):
+            continue
         h = gram_hashes(x[lo : hi + WIDTH - 1])
-        key = (h >> np.uint64(23) << np.uint64(23)) | np.arange(len(h), dtype=np.uint64)  # least hash, leftmost
+        key = (h >> np.uint64(23) << np.uint64(23)) | number[: len(h)]  # least hash, leftmost
         least, size = key, 1
         while 2 * size <= per:
             least = np.minimum(least[:-size], least[size:])
             size *= 2
         least = np.minimum(least[: hi - lo], least[per - size : per - size + hi - lo])
-        place = (least & np.uint64((1 << 23) - 1)).astype(np.int64)
-        start = np.arange(lo, hi)
-        doc = np.searchsorted(ends, start, "right")
-        valid = start + WIDTH <= ends[doc]
-        start, place, doc = start[valid], place[valid], doc[valid]
-        if not len(start):
-            continue
+        place = (least[start] & np.uint64((1 << 23) - 1)).astype(np.int64)
         new = np.flatnonzero(np.r_[True, (place[1:] != place[:-1]) | (start[1:] != start[:-1] + 1)])
         last = np.r_[new[1:] - 1, len(start) - 1]
-        out.append((h[place[new]], place[new] + lo, start[new], start[last], doc[new]))
+        first, place = start[new], place[new]
+        out.append((h[place], place + lo, first + lo, start[last] + lo, np.searchsorted(ends, first + lo, "right")))
     if not out:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.int64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*out))
@@ -111,11 +116,16 @@ class Batch:
         self.hash = (self.hash ^ (self.hash >> np.uint64(31))) * _MIX  # the least of many hashes are uneven
         self.bucket = ((self.hash >> np.uint64(40)) % self.buckets).astype(np.int32)
         short = self.hash & np.uint64((1 << HASH_BITS) - 1)
-        self.order = np.lexsort((self.doc, short, self.bucket))
-        b, s, d = self.bucket[self.order], short[self.order], self.doc[self.order]
-        new = np.r_[True, (b[1:] != b[:-1]) | (s[1:] != s[:-1])] if len(b) else np.zeros(0, bool)
+        key = short | self.bucket.astype(np.uint64) << np.uint64(HASH_BITS)
+        self.order = np.argsort(key)
+        key = key[self.order]
+        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
         self.head = np.flatnonzero(new)  # distinct hashes, by bucket and hash
         self.group = np.cumsum(new) - 1
+        # only where a hash repeats do documents have to be in order
+        again = np.flatnonzero(~new | ~np.r_[new[1:], True]) if len(key) else self.head
+        self.order[again] = self.order[again][np.lexsort((self.doc[self.order[again]], self.group[again]))]
+        b, s, d = self.bucket[self.order], short[self.order], self.doc[self.order]
         other = new | np.r_[True, d[1:] != d[:-1]] if len(b) else new
         self.docs = np.minimum(np.add.reduceat(other.astype(np.int64), self.head), 255) if len(b) else self.head
         self.short, self.of = s[self.head], b[self.head]
@@ -272,12 +282,18 @@ def _settle(contexts: np.ndarray, ids: np.ndarray, size: np.ndarray, out: np.nda
         np.minimum.at(out, (which[m], at[m] + step), best[r])
 
 
+def buckets(docs: DataFrame, text_col: str) -> int:
+    """So many that a bucket has the anchors of BUCKET_BYTES of text: input partitions stop growing in number before they stop growing."""
+    n = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`")).cast("long")).alias("n")).first()["n"] or 0
+    return min(1 << 64 - HASH_BITS, max(64, 4 * parts(docs), -(-n // BUCKET_BYTES)))
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
     """(id, n_bytes, spans): the bytes of each document that strings of earlier documents cover.
 
     With digests, n_removed, n_spans and kept_sha256 stand for the spans.
     """
-    n_buckets = max(64, 4 * parts(docs))
+    n_buckets = buckets(docs, text_col)
     packed = pack(docs, id_col, text_col)
     columns = ("batch", "ids", "sizes", "blob")
     kind = docs.schema[id_col].dataType
@@ -321,6 +337,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 blob = squeeze(part[:, CONTEXT].tobytes() + part[:, CONTEXT + 1].tobytes() + planes(least[lo:hi].astype(np.uint64), 8) + text.tobytes())
                 for column, value in zip(out, (k, number, hi - lo, blob)):
                     column.append(value)
+        give_back()
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "batch": pa.array(out[1], pa.int64()), "n": pa.array(out[2], pa.int32()), "blob": pa.array(out[3], pa.binary())})
 
     def answer_contexts(asked: pa.Table) -> pa.Table:
@@ -351,6 +368,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             r, lo, hi, value = r[real], lo[real], hi[real], value[real]
             blobs.append(squeeze(len(r).to_bytes(8, "little") + planes(r.astype(np.uint64), 4) + lo.astype(np.uint8).tobytes() + hi.astype(np.uint8).tobytes() + planes(value.astype(np.uint64), 8)))
             at += n
+        give_back()
         return pa.table({"batch": asked.column("batch"), "bucket": asked.column("bucket"), "kind": pa.array([1] * len(blobs), pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
     asked = packed.groupBy("batch").cogroup(alive.groupBy("batch")).applyInArrow(ask_contexts, "bucket int, batch long, n int, blob binary")
@@ -388,16 +406,26 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 np.add.at(change, start + WIDTH, -1)
             gone = np.cumsum(change[:-1]) > 0
             ends = np.cumsum(own.sizes)
-            for name, a, e in zip(names, (ends - own.sizes).tolist(), ends.tolist()):
-                mask = gone[a:e]
-                edges = np.flatnonzero(np.diff(np.r_[False, mask, False].astype(np.int8)))
+            begin = ends - own.sizes
+            first, last = gone.copy(), gone.copy()  # of the runs, which end with their document
+            inner = begin[own.sizes > 0]
+            first[1:] &= ~gone[:-1]
+            first[inner] = gone[inner]
+            last[:-1] &= ~gone[1:]
+            last[inner[1:] - 1] = gone[inner[1:] - 1]
+            first, last = np.flatnonzero(first), np.flatnonzero(last) + 1
+            at = np.searchsorted(first, np.r_[begin, len(gone)]).tolist()
+            lo, hi = first.tolist(), last.tolist()
+            for k, (name, a, e) in enumerate(zip(names, begin.tolist(), ends.tolist())):
+                runs = list(zip(lo[at[k] : at[k + 1]], hi[at[k] : at[k + 1]]))
                 if digests:
-                    kept_bytes = np.frombuffer(own.data, np.uint8, e - a, a)[~mask].tobytes() if len(edges) else own.data[a:e]
-                    row = (name, e - a, int(mask.sum()), len(edges) // 2, hashlib.sha256(kept_bytes).hexdigest())
+                    kept = b"".join([own.data[x:y] for x, y in zip([a, *(y for _, y in runs)], [*(x for x, _ in runs), e])])
+                    row = (name, e - a, e - a - len(kept), len(runs), hashlib.sha256(kept).hexdigest())
                 else:
-                    row = (name, e - a, [{"start": x, "end": y} for x, y in edges.reshape(-1, 2).tolist()])
+                    row = (name, e - a, [{"start": x - a, "end": y - a} for x, y in runs])
                 for c, v in zip(out, row):
                     c.append(v)
+        give_back()
         return pa.Table.from_arrays([arrow_list(c, f.dataType) for c, f in zip(out, fields)], names=[f.name for f in fields])
 
     answers = alive.unionByName(settled)

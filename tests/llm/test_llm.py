@@ -402,6 +402,19 @@ def test_repeats(spark, monkeypatch, hot):
     assert repeats.repeated_spans(docs.limit(0)).count() == 0
 
 
+def test_repeats_of_more_text_have_more_buckets_not_larger_ones(spark, monkeypatch):
+    rng = random.Random(8)
+    shared = "".join(rng.choices("abcd ", k=200))
+    rows = [(k, "".join(rng.choices("efgh ", k=300)) + shared[k : k + 120]) for k in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    n_bytes = sum(len(t or "") for _, t in rows)
+    monkeypatch.setattr(repeats, "BUCKET_BYTES", 100)
+    assert repeats.buckets(docs, "text") == -(-n_bytes // 100) > 64 and repeats.buckets(docs.limit(0), "text") == 64
+    monkeypatch.setattr(repeats, "CHUNK", 64)  # strings and documents lie across the blocks that are worked on together
+    got = [(r["doc_id"], r["n_bytes"], [(s["start"], s["end"]) for s in r["spans"]]) for r in repeats.repeated_spans(docs).collect()]
+    assert sorted(got) == sorted(plain_spans([(i, (t or "").encode()) for i, t in rows]))
+
+
 def test_interval_tree():
     text = "banana$bandana$anaband"
     sa = sorted(range(len(text)), key=lambda i: text[i:])
