@@ -6,12 +6,12 @@ model picks the likeliest. If the model finds it likelier than noise, it takes t
 restored text is then scored: an automaton finds the words and beginnings of words that a logistic
 regression has weights for, above and below zero.
 
-Learning: labels of documents with crc32(doc_id as text) mod 3 other than 1; at most SAMPLE labelled
-documents, those with the smallest hash of their id, so the sample doesn't depend on order, and one of
-each group of near copies among them. Words and their beginnings count once in a document. A feature is
-kept if its share of toxic documents is beyond chance over all features counted; what is kept is
-weighed together, on restored texts, toxic and other documents counting alike in sum. The character
-model has the words of the sample.
+Learning: labels of all documents with crc32(doc_id as text) mod 3 other than 1, one of each group of
+near copies among them. Words and their beginnings count once in a document. A feature is kept if its
+share of toxic documents is beyond chance over all features counted; what is kept is weighed together,
+on restored texts, toxic and other documents counting alike in sum. The character model has the words
+of all these documents. Counts are shuffled; a step of the regression is a pass over the features of
+all documents, of which only its slope comes to the driver.
 
 Cases: null and empty texts get the score of a text without any sign; documents without labels are
 scored like others; a document with several labels counts as toxic if any is, one with several texts
@@ -25,28 +25,30 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import annotate, checkpointed, logistic, remainder, table, texts
-from .simhash import shingles, signed
+from ._common import ROWS, annotate, checkpointed, give_back, remainder, small_batches, squeeze, table, texts, unsqueeze
+from .simhash import SENT, shingles, signed
 
-#: Labelled documents to learn from, at most.
-SAMPLE = 8_000
 THRESHOLD = 0.7
 #: Precision of the prior of a weight; chosen on a fifth of the documents that may be learned from.
 PRIOR = 0.3
 #: Lengths of the word beginnings that are features beside whole words, and letters of the longest word that teaches spelling.
 STEMS, LONGEST = range(3, 9), 30
 ORDER = 4
+#: Features or pieces of words that a task counts before it gives them out, tasks of a pass of the regression, and passes at most.
+HELD, TASKS, PASSES = 400_000, 16, 200
 #: Log probability of a letter in noise: a restored word has to be likelier.
 NOISE = -math.log(30)
 
@@ -183,66 +185,85 @@ def line(text: str) -> str:
     return f" {b' '.join(text.encode().translate(PLAIN).split()).decode('latin-1')} "
 
 
-def features(text: str) -> set[str]:
-    """Words of a lower-case text, marked by a space at both ends, and their beginnings, by one in front."""
-    words = set(text.encode().translate(PLAIN).decode().split())
-    return {f" {w} " for w in words} | {f" {w[:k]}" for w in words for k in STEMS if len(w) >= k}
-
-
 def sketch(text: str) -> tuple[int, int]:
     """Two least hashes over the shingles of a text; near copies have one in common, most likely."""
     own = shingles(text.encode()) or [b""]
     return tuple(signed(min(xxhash.xxh64_intdigest(x, seed) for x in own)) for seed in (1, 2))
 
 
-def sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """(text, toxic): labelled documents outside the held-out ones, of at most size one of each group of near copies.
+def sent(rows: DataFrame) -> DataFrame:
+    """rows, to be joined by a broadcast if they are few."""
+    return F.broadcast(rows) if rows.count() <= SENT else rows
+
 
-    Copies of one toxic document would make signs of all its words.
+def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(text, toxic as 0 or 1): all labelled documents outside the held-out ones, one of each group of near copies.
+
+    Copies of one toxic document would make signs of all its words. docs is a table or a checkpoint, whose rows have the same numbers each time.
     """
-    marks = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    marks = checkpointed(marks.filter(remainder(F.col("doc_id"), 3) != 1).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(marks), "doc_id")
-    # ids may repeat: one text of each
-    rows = checkpointed(rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")))
+    toxic = F.max((F.col("toxic") > 0).cast("int")).alias("toxic")
+    marks = checkpointed(labels.filter("toxic is not null").filter(remainder(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(toxic))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = zip(*map(sketch, texts(batch.column(1)))) if len(batch) else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["doc_id", "a", "b"])
+            a, b = zip(*map(sketch, texts(batch.column(0)))) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["row", "doc_id", "toxic", "h", "a", "b"])
 
-    found = rows.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-    seen: set[tuple[int, int]] = set()
-    kept = []
-    for doc_id, a, b in sorted(map(tuple, found.collect()), key=lambda r: (str(r[0]), r)):
-        if not {(1, a), (2, b)} & seen:
-            kept.append((doc_id,))
-        seen |= {(1, a), (2, b)}
-    names = docs.sparkSession.createDataFrame(kept, T.StructType([docs.schema["doc_id"]]))
-    return rows.join(F.broadcast(names), "doc_id").select("text", "toxic")
+    known = small_batches(rows).join(sent(marks), "doc_id").select("text", "row", "doc_id", "toxic", F.xxhash64("text").alias("h"))
+    sketched = known.mapInArrow(run, T.StructType([*known.schema.fields[1:], T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    # ids may repeat: one text of each
+    one = sketched.groupBy("doc_id").agg(F.min(F.struct("h", "row", "a", "b")).alias("m"), F.max("toxic").alias("toxic"))
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("m.a").alias("least")), F.struct(F.lit(2).alias("side"), F.col("m.b").alias("least"))))
+    least = F.min(F.struct(F.col("doc_id").cast("string"), "row", "toxic")).alias("m")
+    firsts = one.select("doc_id", "m.row", "toxic", sides.alias("s")).groupBy("s").agg(least)
+    kept = checkpointed(firsts.groupBy("m.row", "m.toxic").count().filter("count = 2").select("row", "toxic"))  # the first by either hash
+    return rows.join(sent(kept), "row").select("text", "toxic")
 
 
 def counted(rows: DataFrame) -> DataFrame:
-    """(feature, n, toxic): documents that have a feature, and the toxic ones among them; all documents under an empty one."""
+    """(feature, n, toxic): documents that have a feature, and the toxic ones among them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(found):
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.int64())], names=["feature", "n", "toxic"])
+        tally = Tally()
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, len(b), ROWS)):
+            tally.add(texts(batch.column(0)), batch.column(1).to_numpy())
+            if len(tally.names) > HELD:
+                yield tally.out()
+                tally = Tally()
+        yield tally.out()
+        give_back()
+
+    return small_batches(rows).mapInArrow(count, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
-        found: dict[str, list[int]] = {"": [0, 0]}
-        for batch in batches:
-            for text, toxic in zip(texts(batch.column(0)), batch.column(1).to_pylist()):
-                for f in ("", *features(text.lower())):
-                    own = found.setdefault(f, [0, 0])
-                    own[0] += 1
-                    own[1] += toxic > 0
-                if len(found) > 400_000:
-                    yield out(found)
-                    found = {}
-        yield out(found)
 
-    return rows.mapInArrow(count, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+class Tally:
+    """Counts the documents that have each feature: words of the lower-case text, marked by a space at both ends, and their beginnings, by one in front.
+
+    What the features of a word are is worked out once.
+    """
+
+    def __init__(self) -> None:
+        self.words: dict[str, int] = {}
+        self.names: dict[str, int] = {}
+        self.of = np.zeros((0, len(STEMS) + 1), np.int64)  # by word: numbers of its features, or -1
+        self.n, self.toxic = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, column: list[str], toxic: np.ndarray) -> None:
+        words, names, known = self.words, self.names, len(self.words)
+        found = [[words.setdefault(w, len(words)) for w in set(low.encode().translate(PLAIN).decode().split())] for low in map(str.lower, column)]
+        new = [[names.setdefault(f, len(names)) for f in (f" {w} ", *(f" {w[:k]}" for k in STEMS if len(w) >= k))] for w in islice(words, known, None)]
+        self.of = np.concatenate([self.of, np.array([f + [-1] * (len(STEMS) + 1 - len(f)) for f in new], np.int64).reshape(-1, len(STEMS) + 1)])
+        row = np.repeat(np.arange(len(found)), [len(f) for f in found])
+        feature = self.of[np.fromiter((w for f in found for w in f), np.int64, len(row))]
+        pairs = np.unique((feature * len(found) + row[:, None])[feature >= 0])  # beginnings are shared by the words of a document
+        feature, row = pairs // max(1, len(found)), pairs % max(1, len(found))
+        for name, values in (("n", np.bincount(feature, minlength=len(names))), ("toxic", np.bincount(feature[toxic[row] > 0], minlength=len(names)))):
+            values[: len(getattr(self, name))] += getattr(self, name)
+            setattr(self, name, values)
+
+    def out(self) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(self.names), pa.string()), pa.array(self.n, pa.int64()), pa.array(self.toxic, pa.int64())], names=["feature", "n", "toxic"])
 
 
 def spelling(counts: DataFrame) -> dict[str, float]:
@@ -259,37 +280,98 @@ def spelling(counts: DataFrame) -> dict[str, float]:
     return {r["gram"]: r["n"] for r in words.mapInArrow(run, "gram string, n double").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
 
 
+def weighed(known: DataFrame, size: int, heavier: float) -> np.ndarray:
+    """Weights of the features and a bias: the likeliest under normal priors, by L-BFGS whose slopes are added up over all rows.
+
+    known: rows (toxic, counts, found) of packed documents; heavier: how much a toxic one counts.
+    """
+    known = known.coalesce(TASKS)
+    precision = np.array([PRIOR] * size + [1e-6])
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, slope and the diagonal of the curvature."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            loss, slope, bend = 0.0, np.zeros(size + 1), np.zeros(size + 1)
+            for batch in batches:
+                for line in zip(*(c.to_pylist() for c in batch.columns)):
+                    y, n, column = (np.frombuffer(unsqueeze(x), "<i4") for x in line)
+                    row = np.repeat(np.arange(len(y)), n)
+                    z = np.bincount(row, weights=w[column], minlength=len(y)) + w[-1]
+                    weight = np.where(y > 0, heavier, 1.0)
+                    loss += float(weight @ np.logaddexp(0, np.where(y > 0, -z, z)))
+                    p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+                    for total, value in ((slope, weight * (p - (y > 0))), (bend, weight * p * (1 - p))):
+                        total[:-1] += np.bincount(column, weights=value[row], minlength=size)
+                        total[-1] += value.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([loss]), pa.array([slope.tobytes()], pa.binary()), pa.array([bend.tobytes()], pa.binary())], names=["task", "loss", "slope", "bend"])
+
+        # always added up in the same order
+        found = sorted(known.mapInArrow(run, "task int, loss double, slope binary, bend binary").collect(), key=lambda r: r["task"])
+        loss = sum(r["loss"] for r in found) + 0.5 * float(precision @ w**2)
+        slope, bend = (sum((np.frombuffer(r[k]) for r in found), np.zeros(size + 1)) for k in ("slope", "bend"))
+        return loss, slope + precision * w, bend + precision
+
+    return descended(at, np.zeros(size + 1))
+
+
+def descended(at: Callable, w: np.ndarray, memory: int = 10) -> np.ndarray:
+    """Where a convex loss is least, by L-BFGS. at(w): loss, slope and the diagonal of the curvature, of which the first serves as a scale."""
+    loss, slope, scale = at(w)
+    begin, steps = float(slope @ (slope / scale)), []
+    for _ in range(PASSES):
+        if float(slope @ (slope / scale)) <= 1e-10 * begin:
+            break
+        way, used = slope.copy(), []
+        for s, y, r in reversed(steps):
+            a = r * (s @ way)
+            used.append(a)
+            way -= a * y
+        way *= (1.0 if not steps else (steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ (steps[-1][1] / scale))) / scale
+        for (s, y, r), a in zip(steps, reversed(used)):
+            way += (a - r * (y @ way)) * s
+        size, down = 1.0, float(slope @ way)
+        for _ in range(20):
+            then = at(w - size * way)
+            if then[0] <= loss - 1e-4 * size * down:
+                break
+            size /= 2
+        else:
+            break
+        s, y = -size * way, then[1] - slope
+        if s @ y > 0:
+            steps = [*steps, (s, y, 1 / float(s @ y))][-memory:]
+        w, loss, slope = w + s, then[0], then[1]
+    return w
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> dict:
-    """Weights of features, their bias, and the counts of the character model; bounded by the sample."""
-    rows = checkpointed(sample(docs, labels))
-    counts = checkpointed(counted(rows))
-    n_features = counts.count()
-    own = counts.filter("feature = ''").first()
-    total, n_toxic = (own["n"], own["toxic"]) if own else (0, 0)
+    """Weights of features, their bias, and the counts of the character model, of all labelled documents that aren't held out."""
+    rows = checkpointed(learnable(docs, labels))
+    total, n_toxic = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     base = (n_toxic + 0.5) / (total + 1)
     none = {"weights": {}, "grams": {}, "bias": math.log(base / (1 - base))}
     if not 0 < n_toxic < total:
         return none
+    counts = checkpointed(counted(rows))
     p = F.col("toxic") / F.col("n")
     gain = F.col("n") * (F.when(p > 0, p * F.log(p / F.lit(base))).otherwise(0.0) + F.when(p < 1, (1 - p) * F.log((1 - p) / F.lit(1 - base))).otherwise(0.0))
-    strong = [r["feature"] for r in counts.filter("feature <> ''").filter(gain > math.log(n_features)).select("feature").orderBy("feature").collect()]
+    strong = sorted(r["feature"] for r in counts.filter(gain > math.log(max(1, counts.count()))).select("feature").collect())
     if not strong:
         return none
     spelled = spelling(counts)
-    given = docs.sparkSession.sparkContext.broadcast(({f: 0.0 for f in strong}, spelled))
+    given = docs.sparkSession.sparkContext.broadcast((dict(zip(strong, range(len(strong)))), spelled))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(*given.value)
-        for batch in batches:
-            found = [sorted(reader.signs(reader.restored(text.lower())[0])) for text in texts(batch.column(0))]
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), batch.column(1)], names=["found", "toxic"])
-
-    known = rows.mapInArrow(present, T.StructType([T.StructField("found", T.ArrayType(T.StringType())), rows.schema["toxic"]])).collect()
-    index = {f: k for k, f in enumerate(strong)}
-    y = np.array([float(r["toxic"] > 0) for r in known])
-    row = np.concatenate([np.full(len(r["found"]) + 1, k) for k, r in enumerate(known)])
-    column = np.concatenate([[*(index[f] for f in r["found"]), len(strong)] for r in known]).astype(np.int64)
-    w = logistic(row, column, y * ((len(y) - y.sum()) / y.sum()), 1 - y, np.zeros(len(strong) + 1), np.array([PRIOR] * len(strong) + [1e-6]))
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, len(b), ROWS)):
+            found = [sorted(reader.weights[f] for f in reader.signs(reader.restored(text.lower())[0])) for text in texts(batch.column(0))]
+            values = batch.column(1).to_numpy(), [len(x) for x in found], [k for x in found for k in x]
+            yield pa.RecordBatch.from_arrays([pa.array([squeeze(np.array(v, "<i4").tobytes())], pa.binary()) for v in values], names=["toxic", "counts", "found"])
+        give_back()
+
+    known = checkpointed(small_batches(rows).mapInArrow(present, "toxic binary, counts binary, found binary"))
+    w = weighed(known, len(strong), (total - n_toxic) / n_toxic)
     return {"weights": dict(zip(strong, w[:-1].tolist())), "grams": spelled, "bias": float(w[-1])}
 
 

@@ -692,6 +692,47 @@ def test_disguised_texts_are_scored_as_what_they_say(spark):
     assert min(known["weights"].values()) < 0 < max(known["weights"].values()) or len(known["weights"]) > 2
 
 
+def test_all_labelled_documents_teach(spark):
+    """More of them than a sample once held; each gives its words to the spelling and its features to the counts."""
+    rng = random.Random(4)
+    rows = [(k, f"zq {'idiot ' * (k % 5 == 0)}" + " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(4)), int(k % 5 == 0)) for k in range(12_500)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").repartition(3)
+    mine = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
+    assert len(mine) > 8_100
+    known = toxicity.learn(_common.checkpointed(docs), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert known["grams"]["zq$"] == len(mine) and known["grams"]["iot$"] == sum(y for *_, y in mine)
+    assert known["weights"][" idiot "] > 0
+
+
+def test_features_are_counted_once_in_a_document_and_near_copies_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "HELD", 20)
+    texts = ["Alpha alphabet, alp", "beta-alpha", None, "", "égal égale \x00x", "one two three four", "one two three four", "alpha"]
+    docs = _common.checkpointed(spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(7, "beta gamma")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(len(texts))], "doc_id long, toxic int")
+    got = [(r["text"], r["toxic"]) for r in toxicity.learnable(docs, labels).collect()]
+    mine = [k for k in range(len(texts)) if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert len(got) == len({texts[k] or "" for k in mine}) and {t for t, _ in got if t not in ("alpha", "beta gamma")} == {texts[k] or "" for k in mine if k != 7}
+    rows = spark.createDataFrame([(t or "", k % 2) for k, t in enumerate(texts)], "text string, toxic int").repartition(2)
+    want = {}
+    for k, t in enumerate(texts):
+        words = set(re.sub(r"[^a-z\x80-\U0010ffff]", " ", (t or "").lower()).split(" ")) - {""}
+        for f in {f" {w} " for w in words} | {f" {w[:n]}" for w in words for n in range(3, 9) if len(w) >= n}:
+            n, toxic = want.get(f, (0, 0))
+            want[f] = (n + 1, toxic + k % 2)
+    assert {r["feature"]: (r["n"], r["toxic"]) for r in toxicity.counted(rows).collect()} == want
+
+
+def test_passes_find_the_weights_that_newton_steps_find(spark):
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 8)) < 0.3
+    y = (x @ rng.normal(size=8) + rng.normal(size=300) > 0.7).astype("<i4")
+    parts = [[_common.squeeze(v.astype("<i4").tobytes()) for v in (y[a : a + 100], x[a : a + 100].sum(1), np.nonzero(x[a : a + 100])[1])] for a in (0, 100, 200)]
+    w = toxicity.weighed(spark.createDataFrame(parts, "toxic binary, counts binary, found binary"), 8, 2.5)
+    row, column = np.nonzero(np.c_[x, np.ones(300, bool)])
+    want = _common.logistic(row, column, y * 2.5, 1.0 - y, np.zeros(9), np.array([toxicity.PRIOR] * 8 + [1e-6]))
+    assert np.abs(w - want).max() < 1e-3
+
+
 def test_the_regression_is_the_likeliest():
     rng = np.random.default_rng(3)
     x = rng.random((200, 6)) < 0.4
