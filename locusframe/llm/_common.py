@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import ctypes
+import inspect
 import tempfile
 from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,32 @@ def give_back() -> None:
         pass
 
 
+def tidy(run: Callable) -> Callable:
+    """run, a function of a task or a group; what it held is given back once it is done."""
+    if inspect.isgeneratorfunction(run):
+
+        @wraps(run)
+        def tidied(batches):
+            yield from run(batches)
+            give_back()
+    elif run.__code__.co_argcount == 1:  # Spark counts the arguments
+
+        @wraps(run)
+        def tidied(table):
+            out = run(table)
+            give_back()
+            return out
+    else:
+
+        @wraps(run)
+        def tidied(left, right):
+            out = run(left, right)
+            give_back()
+            return out
+
+    return tidied
+
+
 def annotate(df: DataFrame, inputs: list[str], make: Callable, fields: T.StructType) -> DataFrame:
     """Columns ``row`` (all of df's columns) and ``out`` (a struct of fields), one row for each of df.
 
@@ -142,7 +170,7 @@ def pack(df: DataFrame, id_col: str, text_col: str, size: int = BATCH_BYTES) ->
         if data:
             yield out()
 
-    return small_batches(df).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(run, schema)
+    return small_batches(df).select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(tidy(run), schema)
 
 
 def unpack(sizes: list[int], blob: bytes) -> list[bytes]:

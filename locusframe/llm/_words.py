@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed
+from ._common import checkpointed, tidy
 
 #: A word is common if it makes up 1 / SHARE of all; so there are at most SHARE common words.
 SHARE = 500_000
@@ -46,7 +46,7 @@ def common_words(df: DataFrame, column: str, split: Callable[[str], list[str]],
         if total:
             yield out()
 
-    found = checkpointed(df.select(F.col(f"`{column}`")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    found = checkpointed(df.select(F.col(f"`{column}`")).mapInArrow(tidy(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
     total = found.filter(F.col("word") == "").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return found.filter((F.col("word") != "") & (F.col("n") >= max(total / share, 1)))
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import arrow_list, give_back, pack, parts, squeeze, table, unpack, unsqueeze
+from ._common import arrow_list, pack, parts, squeeze, table, tidy, unpack, unsqueeze
 from ._words import bucket, common_words
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -192,8 +192,8 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
             blobs.append(squeeze(bytes([small.itemsize]) + sizes.tobytes() + small.tobytes()))
         return pa.table({"batch": asked.column("batch"), "bucket": asked.column("bucket"), "n": asked.column("n"), "ids": pa.array(blobs, pa.binary())})
 
-    asked = packed.mapInArrow(ask, "bucket int, batch long, n int, words binary")
-    answers = asked.groupBy("bucket").applyInArrow(answer, "batch long, bucket int, n int, ids binary")
+    asked = packed.mapInArrow(tidy(ask), "bucket int, batch long, n int, words binary")
+    answers = asked.groupBy("bucket").applyInArrow(tidy(answer), "batch long, bucket int, n int, ids binary")
 
     kind = docs.schema[id_col].dataType
     fields = [T.StructField(id_col, kind), T.StructField("n_tokens", T.LongType()), *(T.StructField(c, COLUMNS[c][0]) for c in columns)]
@@ -220,10 +220,9 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
                 text = voc.decoded(line)
                 for column, value in zip(out, (name, len(line) // 4, *(make(line, text) for make in makers))):
                     column.append(value)
-        give_back()
         return pa.Table.from_arrays([arrow_list(c, f.dataType) for c, f in zip(out, fields)], names=[f.name for f in fields])
 
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(join, T.StructType(fields))
+    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(tidy(join), T.StructType(fields))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

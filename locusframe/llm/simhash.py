@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import annotate, checkpointed, octets, small_batches, table
+from ._common import annotate, checkpointed, octets, small_batches, table, tidy
 
 RADIUS, SHINGLE, SEED = 3, 3, 42
 #: Words of a shingle and least similarity (as a fraction) of near copies.
@@ -195,7 +195,7 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     rows = keyed(prints)
-    near = rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(run, "a long, b long")
+    near = rows.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(tidy(run), "a long, b long")
     return near.distinct()
 
 
@@ -305,7 +305,7 @@ def common_hashes(docs: DataFrame, size: int) -> np.ndarray:
             for text in octets(batch.column(0)):
                 yield pa.RecordBatch.from_arrays([pa.array(hash_set(text, size), pa.int64())], names=["h"])
 
-    found = docs.select("text").sample(share, 5).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
+    found = docs.select("text").sample(share, 5).mapInArrow(tidy(run), "h long").groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= OFTEN)
     rows = found.orderBy(F.desc("n"), "h").limit(COMMON).collect()
     return np.sort(np.array([r["h"] for r in rows], np.int64))
 
@@ -369,7 +369,7 @@ def meetings(keys: DataFrame) -> DataFrame:
             last = (h[-1], salt[-1], m[-1])
 
     rows = keys.repartition(F.col("h"), F.col("salt")).sortWithinPartitions("h", "salt", "fp")
-    return rows.mapInArrow(run, "h long, salt int, fp long, m long")
+    return rows.mapInArrow(tidy(run), "h long, salt int, fp long, m long")
 
 
 def close_pairs(members: list[tuple]) -> list[tuple[int, int]]:
@@ -412,7 +412,7 @@ def shard_pairs(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     place = ["h", "_i", "_j"]
-    return small_batches(dealt.repartition(*place).sortWithinPartitions(*place, "fp")).mapInArrow(run, "a long, b long").distinct()
+    return small_batches(dealt.repartition(*place).sortWithinPartitions(*place, "fp")).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def similar_pairs(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
@@ -436,7 +436,7 @@ def similar_pairs(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int)
                 near = [is_similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])) for i, j in zip(a, b)]
                 yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
-    return small_batches(both.select("a", "b", "x", "y")).mapInArrow(run, "a long, b long").distinct()
+    return small_batches(both.select("a", "b", "x", "y")).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
@@ -468,7 +468,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = [(i, j) for i, j, *two in zip(a, b, n, x, m, y) if close_pairs([(i, i, two[0], 0, two[1]), (j, j, two[2], 0, two[3])])]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), ()))], names=["a", "b"])
 
-    tried = checkpointed(small_batches(beside.filter(near).select("a", "b", "a_.n", "a_.bits", F.col("b_.n").alias("m"), F.col("b_.bits").alias("y"))).mapInArrow(likely, "a long, b long"))
+    tried = checkpointed(small_batches(beside.filter(near).select("a", "b", "a_.n", "a_.bits", F.col("b_.n").alias("m"), F.col("b_.bits").alias("y"))).mapInArrow(tidy(likely), "a long, b long"))
     joined = checkpointed(similar_pairs(own, rows, tried, size))
 
     # sets that are joined already have one label, whatever shard joined them

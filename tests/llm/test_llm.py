@@ -360,6 +360,26 @@ def test_tokenize(spark):
     assert bpe.tokenize(docs.limit(0)).count() == 0
 
 
+def test_workers_give_back_what_a_task_held(monkeypatch):
+    """After its last row, when what it worked with is gone."""
+    seen = []
+
+    class Held:
+        def __del__(self):
+            seen.append("gone")
+
+    def rows(batches):
+        held = Held()  # noqa: F841
+        yield from batches
+
+    def group(left, right):
+        held = Held()  # noqa: F841
+        return left + right
+
+    monkeypatch.setattr(_common, "give_back", lambda: seen.append("back"))
+    assert list(_common.tidy(rows)(iter([1, 2]))) == [1, 2] and _common.tidy(group)(3, 4) == 7 and seen == ["gone", "back"] * 2
+
+
 def test_common_words_are_few_and_all_there(spark):
     docs = docs_of(spark, ["a a a b", "a c", None])
     assert {r["word"] for r in common_words(docs, "text", lambda t: t.split(), share=3).collect()} == {"a"}
