@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import ROWS, annotate, checkpointed, give_back, remainder, small_batches, squeeze, table, texts, unsqueeze
+from ._common import ROWS, annotate, checkpointed, remainder, small_batches, squeeze, table, texts, tidy, unsqueeze
 from .simhash import SENT, shingles, signed
 
 THRESHOLD = 0.7
@@ -49,6 +49,9 @@ STEMS, LONGEST = range(3, 9), 30
 ORDER = 4
 #: Features or pieces of words that a task counts before it gives them out, tasks of a pass of the regression, and passes at most.
 HELD, TASKS, PASSES = 400_000, 16, 200
+#: Least hashes in a band of a sketch, and what makes three bands of hashes of one: a band is shared with the similarity to the power of BAND.
+BAND = 4
+MIXED = np.random.default_rng(3).integers(0, 1 << 63, 3 * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
 #: Log probability of a letter in noise: a restored word has to be likelier.
 NOISE = -math.log(30)
 
@@ -185,10 +188,12 @@ def line(text: str) -> str:
     return f" {b' '.join(text.encode().translate(PLAIN).split()).decode('latin-1')} "
 
 
-def sketch(text: str) -> tuple[int, int]:
-    """Two least hashes over the shingles of a text; near copies have one in common, most likely."""
+def sketch(text: str) -> list[int]:
+    """A hash of each band of least hashes over the shingles of a text: near copies have one in common, most likely, and texts with some shingles in common none."""
     own = shingles(text.encode()) or [b""]
-    return tuple(signed(min(xxhash.xxh64_intdigest(x, seed) for x in own)) for seed in (1, 2))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))
+    least = np.array([(h * m).min() for m in MIXED])
+    return [signed(xxhash.xxh64_intdigest(least[k : k + BAND].tobytes())) for k in range(0, len(least), BAND)]
 
 
 def sent(rows: DataFrame) -> DataFrame:
@@ -207,17 +212,15 @@ def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = zip(*map(sketch, texts(batch.column(0)))) if len(batch) else ((), ())
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["row", "doc_id", "toxic", "h", "a", "b"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(list(map(sketch, texts(batch.column(0)))), pa.list_(pa.int64()))], names=["row", "doc_id", "toxic", "h", "bands"])
 
     known = small_batches(rows).join(sent(marks), "doc_id").select("text", "row", "doc_id", "toxic", F.xxhash64("text").alias("h"))
-    sketched = known.mapInArrow(run, T.StructType([*known.schema.fields[1:], T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
+    sketched = known.mapInArrow(tidy(run), T.StructType([*known.schema.fields[1:], T.StructField("bands", T.ArrayType(T.LongType()))]))
     # ids may repeat: one text of each
-    one = sketched.groupBy("doc_id").agg(F.min(F.struct("h", "row", "a", "b")).alias("m"), F.max("toxic").alias("toxic"))
-    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("m.a").alias("least")), F.struct(F.lit(2).alias("side"), F.col("m.b").alias("least"))))
+    one = sketched.groupBy("doc_id").agg(F.min(F.struct("h", "row", "bands")).alias("m"), F.max("toxic").alias("toxic"))
     least = F.min(F.struct(F.col("doc_id").cast("string"), "row", "toxic")).alias("m")
-    firsts = one.select("doc_id", "m.row", "toxic", sides.alias("s")).groupBy("s").agg(least)
-    kept = checkpointed(firsts.groupBy("m.row", "m.toxic").count().filter("count = 2").select("row", "toxic"))  # the first by either hash
+    firsts = one.select("doc_id", "m.row", "toxic", F.posexplode("m.bands").alias("band", "hash")).groupBy("band", "hash").agg(least)
+    kept = checkpointed(firsts.groupBy("m.row", "m.toxic").count().filter(F.col("count") == len(MIXED) // BAND).select("row", "toxic"))  # the first by each band
     return rows.join(sent(kept), "row").select("text", "toxic")
 
 
@@ -232,9 +235,8 @@ def counted(rows: DataFrame) -> DataFrame:
                 yield tally.out()
                 tally = Tally()
         yield tally.out()
-        give_back()
 
-    return small_batches(rows).mapInArrow(count, "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    return small_batches(rows).mapInArrow(tidy(count), "feature string, n long, toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
 class Tally:
@@ -270,14 +272,20 @@ def spelling(counts: DataFrame) -> dict[str, float]:
     """Counts of the character model over the words among the features, each as often as documents have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found):
+            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["gram", "n"])
+
         found: Counter = Counter()
         for batch in batches:
             for feature, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 grams(feature.strip(), float(n), found)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.float64())], names=["gram", "n"])
+                if len(found) > HELD:
+                    yield out(found)
+                    found = Counter()
+        yield out(found)
 
     words = counts.filter(F.col("feature").endswith(" ") & (F.length("feature") <= LONGEST + 2)).select("feature", "n")
-    return {r["gram"]: r["n"] for r in words.mapInArrow(run, "gram string, n double").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+    return {r["gram"]: r["n"] for r in words.mapInArrow(tidy(run), "gram string, n double").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
 
 
 def weighed(known: DataFrame, size: int, heavier: float) -> np.ndarray:
@@ -307,7 +315,7 @@ def weighed(known: DataFrame, size: int, heavier: float) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([loss]), pa.array([slope.tobytes()], pa.binary()), pa.array([bend.tobytes()], pa.binary())], names=["task", "loss", "slope", "bend"])
 
         # always added up in the same order
-        found = sorted(known.mapInArrow(run, "task int, loss double, slope binary, bend binary").collect(), key=lambda r: r["task"])
+        found = sorted(known.mapInArrow(tidy(run), "task int, loss double, slope binary, bend binary").collect(), key=lambda r: r["task"])
         loss = sum(r["loss"] for r in found) + 0.5 * float(precision @ w**2)
         slope, bend = (sum((np.frombuffer(r[k]) for r in found), np.zeros(size + 1)) for k in ("slope", "bend"))
         return loss, slope + precision * w, bend + precision
@@ -368,9 +376,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> dict:
             found = [sorted(reader.weights[f] for f in reader.signs(reader.restored(text.lower())[0])) for text in texts(batch.column(0))]
             values = batch.column(1).to_numpy(), [len(x) for x in found], [k for x in found for k in x]
             yield pa.RecordBatch.from_arrays([pa.array([squeeze(np.array(v, "<i4").tobytes())], pa.binary()) for v in values], names=["toxic", "counts", "found"])
-        give_back()
 
-    known = checkpointed(small_batches(rows).mapInArrow(present, "toxic binary, counts binary, found binary"))
+    known = checkpointed(small_batches(rows).mapInArrow(tidy(present), "toxic binary, counts binary, found binary"))
     w = weighed(known, len(strong), (total - n_toxic) / n_toxic)
     return {"weights": dict(zip(strong, w[:-1].tolist())), "grams": spelled, "bias": float(w[-1])}
 

@@ -724,6 +724,18 @@ def test_all_labelled_documents_teach(spark):
     assert known["weights"][" idiot "] > 0
 
 
+def test_texts_that_share_some_shingles_all_teach(spark):
+    """A line that all have in common makes no copies of them; a text with a word changed is one."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    texts = [" ".join([word() for _ in range(60)] + ["all rights reserved by their owners"]) for _ in range(300)]
+    docs = _common.checkpointed(spark.createDataFrame([*enumerate(texts), *((1000 + k, t + " end") for k, t in enumerate(texts))], "doc_id long, text string"))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+    got = [r["text"].removesuffix(" end") for r in toxicity.learnable(docs, labels).collect()]
+    mine = {t for k, t in enumerate(texts) for i in (k, 1000 + k) if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert set(got) == mine and len(got) < 1.05 * len(mine)
+
+
 def test_features_are_counted_once_in_a_document_and_near_copies_once(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "HELD", 20)
     texts = ["Alpha alphabet, alp", "beta-alpha", None, "", "égal égale \x00x", "one two three four", "one two three four", "alpha"]
@@ -765,6 +777,20 @@ def test_the_regression_is_the_likeliest():
     assert np.abs(slope).max() < 1e-4
 
 
+def test_spelling_is_counted_over_all_words(spark, monkeypatch):
+    """Whatever a task holds at a time, and also as the pipeline's first stage learns it."""
+    rows = speech(200)
+    words = Counter(w for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1 for w in set(t.split()))
+    want = Counter()
+    for w, n in words.items():
+        toxicity.grams(w, n, want)
+    counts = spark.createDataFrame([(f" {w} ", n, 0) for w, n in words.items()] + [(" th", 5, 0), (f" {'x' * 31} ", 1, 0)], "feature string, n long, toxic long")
+    monkeypatch.setattr(toxicity, "HELD", 10)
+    assert toxicity.spelling(counts) == want
+    docs = _common.checkpointed(spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string"))
+    assert toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))["grams"] == want
+
+
 # ---- the pipeline --------------------------------------------------------------------------------
 
 
