@@ -13,7 +13,8 @@ executor, or fingerprints to the driver, would grow with the corpus.
 near_copies() has another rule: a Jaccard similarity over 5-word shingles of 0.8 at least. Fingerprints
 of such pairs differ in about ten bits and often in more, so no keys of blocks find them. There the
 shards of the trees are the shingles that similar sets must share (prefixes), the radius is wide, and
-what the trees find is compared exactly.
+what the trees find is compared exactly. Pairs that may be similar leave no rows: a task gives links that
+join them, and the sets that are joined so are compared in one place.
 
 Cases: null and wordless texts have fingerprint zero and are linked like any other; repeated rows
 each get a row; a null id takes part in links, but is no component's id unless nothing else is; texts
@@ -22,8 +23,9 @@ of any length are read whole; an empty table gives no rows; columns of docs may
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +48,10 @@ SAMPLE, OFTEN, COMMON = 2_000, 4, 500_000
 SALTS = 64
 #: Parities kept of a set of shingles, at most.
 BITS = 4_096
-#: Sets of a shard that are compared in one task; a larger shard is dealt over pairs of such blocks.
-BLOCK = 4_000
-#: Rows of a broadcast, of about 100 bytes each.
-SENT = 300_000
+#: Sets that are compared in one task, and shingles of the texts that are; more are dealt over pairs of such blocks.
+BLOCK, HELD = 4_000, 500_000
+#: Rows of a broadcast, of about 100 bytes each, and links that one task joins.
+SENT, FEW = 300_000, 300_000
 #: First bit and length of the five blocks of a fingerprint.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: A key with more distinct fingerprints than this is dealt on by its other bits.
@@ -98,8 +100,8 @@ class BKTree:
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
 
-    def search_and_add(self, value: int, radius: int) -> list[int]:
-        """Positions of the values within the radius of this one, which then is in the tree (once)."""
+    def search(self, value: int, radius: int) -> list[int]:
+        """Positions of the values within the radius of this one."""
         found: list[int] = []
         values, children = self.values, self.children
         todo = [0] if values else []
@@ -111,11 +113,16 @@ class BKTree:
             for edge, child in children[k].items():
                 if d - radius <= edge <= d + radius:
                     todo.append(child)
+        return found
+
+    def add(self, value: int) -> None:
+        """A value that is in the tree stays there once."""
+        values, children = self.values, self.children
         k, new = 0, len(values)
         while new:
             d = (values[k] ^ value).bit_count()
             if d == 0:
-                return found
+                return
             nxt = children[k].get(d)
             if nxt is None:
                 children[k][d] = new
@@ -123,6 +130,10 @@ class BKTree:
             k = nxt
         values.append(value)
         children.append({})
+
+    def search_and_add(self, value: int, radius: int) -> list[int]:
+        found = self.search(value, radius)
+        self.add(value)
         return found
 
 
@@ -216,6 +227,31 @@ def components(links: DataFrame) -> DataFrame:
         mark = tuple(now)
 
 
+def joined(links: DataFrame) -> DataFrame:
+    """components() of links, a checkpoint. Few links are joined in one task: rounds of stars would cost far more, most of it in small files."""
+    if links.count() > FEW:
+        return components(links)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = up[y]
+                x = y
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(a), root(b)
+                up[max(a, b)] = min(a, b)
+        found = [(x, r) for x in up if (r := root(x)) != x]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["node", "root"])
+
+    return checkpointed(links.select("a", "b").coalesce(1).mapInArrow(tidy(run), "node long, root long"))
+
+
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text_hash, text): what tells rows apart even where ids repeat."""
     text = F.col(f"`{text_col}`")
@@ -372,80 +408,127 @@ def meetings(keys: DataFrame) -> DataFrame:
     return rows.mapInArrow(tidy(run), "h long, salt int, fp long, m long")
 
 
-def close_pairs(members: list[tuple]) -> list[tuple[int, int]]:
-    """Pairs (a, b), a < b, of the sets (fp, label, n, sim, bits) of a shard that may be similar, found by a BK-tree of their SimHashes. Sets of one label are linked already."""
+def unlike(n: int, wide: int, x: int, m: int, its_wide: int, y: int) -> bool:
+    """Whether sets of n and m members, with parities x and y of so many places, can't be similar."""
+    w = min(wide, its_wide)
+    return not may_be_similar(folded(x, wide, w), n, folded(y, its_wide, w), m)
+
+
+def close_links(members: list[tuple], up: dict[int, int]) -> list[tuple[int, int]]:
+    """Links (a, b), a > b, of labels, that join whatever may be similar of the sets (label, n, sim, bits) of a shard; found by a BK-tree of their SimHashes.
+
+    up has the links of other shards and gets these. However many pairs a shard has, its links are fewer than its labels.
+    A label's sets are looked for among those of others, the most frequent label's not at all.
+    """
+
+    def root(x: int) -> int:
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    groups: dict[int, list[tuple]] = defaultdict(list)
+    for label, n, sim, bits in members:
+        groups[root(label)].append((n, sim, 8 * len(bits), int.from_bytes(bits, "big")))
     tree, places = BKTree(), {}
     held: list[list[tuple]] = []
-    out = []
-    for fp, label, n, sim, bits in members:
-        wide, x = 8 * len(bits), int.from_bytes(bits, "big")
-        for k in tree.search_and_add(sim, radius_of(n)):
-            for other, its_label, size, its_wide, y in held[k] if k < len(held) else ():
-                if its_label != label and other != fp:
-                    w = min(wide, its_wide)
-                    if may_be_similar(folded(x, wide, w), n, folded(y, its_wide, w), size):
-                        out.append((min(fp, other), max(fp, other)))
-        if sim not in places:
-            places[sim] = len(held)
-            held.append([])
-        held[places[sim]].append((fp, label, n, wide, x))
+    out: list[tuple[int, int]] = []
+    for label, own in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
+        for n, sim, wide, x in own if places else ():
+            here = root(label)
+            for k in tree.search(sim, radius_of(n)):
+                for other, *its in held[k]:
+                    if (there := root(other)) != here and not unlike(n, wide, x, *its):
+                        here, there = min(here, there), max(here, there)
+                        up[there] = here
+                        out.append((there, here))
+                        if len(out) == len(groups) - 1:
+                            return out
+        for n, sim, wide, x in own:
+            if sim not in places:
+                places[sim] = len(held)
+                held.append([])
+                tree.add(sim)
+            held[places[sim]].append((label, n, wide, x))
     return out
 
 
+def in_pairs(rows: DataFrame, key: str, many) -> DataFrame:
+    """rows with _i and _j, a place for each two blocks of a key's sets (fp), so that any two sets meet; many, an aggregate, is how many blocks a key has."""
+    dealt = rows.join(rows.groupBy(key).agg(many.cast("int").alias("_blocks")), key)
+    other = F.sequence(F.lit(0), F.col("_blocks") - 1)
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64("fp"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(other)).filter("_own <> _other or _blocks = 1")
+    return dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).drop("_blocks", "_own", "_other")
+
+
 def shard_pairs(rows: DataFrame) -> DataFrame:
-    """(a, b): pairs that may be similar, of rows (h, fp, label, n, sim, bits) of shards h."""
-    many = rows.groupBy("h").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    # a large shard's sets go to each task that compares their block with another
-    dealt = rows.join(many, "h").withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.withColumns({"_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other")}).select("h", "_i", "_j", "fp", "label", "n", "sim", "bits")
+    """(a, b), a > b: links of labels that join whatever may be similar of rows (h, fp, label, n, sim, bits) of shards h."""
+    dealt = in_pairs(rows, "h", F.ceil(F.count("*") / BLOCK)).select("h", "_i", "_j", "fp", "label", "n", "sim", "bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns)))
-        found: set[tuple[int, int]] = set()
+        up: dict[int, int] = {}
         for _, shard in groupby(rows, lambda r: r[:3]):
-            found.update(close_pairs([(fp, label, n, sim % (1 << 64), bits) for *_, fp, label, n, sim, bits in shard]))
-            if len(found) > 200_000:
+            if found := close_links([(label, n, sim % (1 << 64), bits) for *_, label, n, sim, bits in shard], up):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
-                found = set()
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
     place = ["h", "_i", "_j"]
     return small_batches(dealt.repartition(*place).sortWithinPartitions(*place, "fp")).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
-def similar_pairs(docs: DataFrame, rows: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """Those of the pairs (a, b) of sets, a checkpoint, that are similar. The sets are made again from the texts, one text of each."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("fp")
+def similar_links(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of positions that join all of each component of similar sets (as of hash_set): every two sets of different components are compared, unless one's prefix rules it out."""
+    size = np.array([len(own) for own in sets])
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(often, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[code]  # rare shingles have small numbers
+    ends, starts = np.cumsum(size), np.r_[0, np.cumsum(often[order])]
+    holders = np.repeat(np.arange(len(sets)), size)[np.argsort(code, kind="stable")]
+    having = lambda some: np.concatenate([holders[starts[v] : starts[v + 1]] for v in some])
+    group = np.arange(len(sets))
+    out = []
+    for i in range(len(sets)):
+        own = np.sort(code[ends[i] - size[i] : ends[i]])
+        if not len(own) or (group[having(own[: prefix(len(own))])] == group[i]).all():
+            continue
+        common = np.bincount(having(own), minlength=len(sets))
+        for j in np.flatnonzero(is_similar(common, size[i], size) & (group != group[i])).tolist():
+            if group[j] != group[i]:
+                out.append((i, j))
+                group[group == group[j]] = group[i]
+    return out
+
+
+def joined_sets(docs: DataFrame, rows: DataFrame, members: DataFrame, size: int) -> DataFrame:
+    """(a, b): links that join all similar sets of one block, of rows (block, fp, n), a checkpoint. The sets are made again from the texts, one text of each."""
     key = (F.col("doc_id").isNull().alias("_none"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_hash").alias("_hash"))
-    one = checkpointed(rows.join(wanted, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(*key)).alias("k")).select("fp", "k.*"))
+    one = checkpointed(rows.join(members, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct(*key)).alias("k")).select("fp", "k.*"))
     # texts stay where they are unless very many of them are wanted
     one = F.broadcast(one) if one.count() <= SENT else one
     texts_ = docs.select(*key, "text").join(one, ["_none", "_id", "_hash"]).select("fp", "text").dropDuplicates(["fp"])
-    both = pairs.join(texts_.select(F.col("fp").alias("a"), F.col("text").alias("x")), "a").join(texts_.select(F.col("fp").alias("b"), F.col("text").alias("y")), "b")
+    dealt = in_pairs(members, "block", F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HELD))).join(texts_, "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(lo, 100) for lo in range(0, len(batch), 100)):
-                a, b, x, y = part.column(0).to_pylist(), part.column(1).to_pylist(), octets(part.column(2)), octets(part.column(3))
-                sets: dict[int, np.ndarray] = {}
-                for k, text in chain(zip(a, x), zip(b, y)):
-                    if k not in sets:
-                        sets[k] = hash_set(text, size)
-                near = [is_similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j])) for i, j in zip(a, b)]
-                yield part.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+        rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns[:4]), octets(batch.column(4))))
+        for _, block in groupby(rows, lambda r: r[:3]):
+            names, sets = zip(*((fp, hash_set(text, size)) for *_, fp, text in block))
+            if found := [(names[i], names[j]) for i, j in similar_links(sets)]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=["a", "b"])
 
-    return small_batches(both.select("a", "b", "x", "y")).mapInArrow(tidy(run), "a long, b long").distinct()
+    place = ["block", "_i", "_j"]
+    return small_batches(dealt.select(*place, "fp", "text").repartition(*place).sortWithinPartitions(*place, "fp")).mapInArrow(tidy(run), "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS) -> DataFrame:
     """(doc_id, text_hash, fp, root, component_id) for each document: groups by links of a Jaccard similarity of SIMILAR at least, over the sets of shingles.
 
     Similar sets share a shingle of their prefixes, whatever order the shingles have; so each shingle of prefixes is a
-    shard. First each set is compared with the least of its shards, which joins most of a group of copies without any
+    shard. First each set is held against the least of its shards, which joins most of a group of copies without any
     pairs of it. Shards whose sets aren't all joined that way have their BK-trees searched; shards of the same sets count
-    once. What is found is compared exactly.
+    once. All this joins what may be similar, into blocks; similar sets are always in one. Within blocks sets are compared
+    exactly.
     """
     own = identified(docs, id_col, text_col)
     rows = checkpointed(sketched(own, size))
@@ -465,22 +548,22 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b, n, x, m, y = (c.to_pylist() for c in batch.columns)
-            rows = [(i, j) for i, j, *two in zip(a, b, n, x, m, y) if close_pairs([(i, i, two[0], 0, two[1]), (j, j, two[2], 0, two[3])])]
+            rows = [(i, j) for i, j, c, v, d, w in zip(a, b, n, x, m, y) if not unlike(c, 8 * len(v), int.from_bytes(v, "big"), d, 8 * len(w), int.from_bytes(w, "big"))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), ()))], names=["a", "b"])
 
     tried = checkpointed(small_batches(beside.filter(near).select("a", "b", "a_.n", "a_.bits", F.col("b_.n").alias("m"), F.col("b_.bits").alias("y"))).mapInArrow(tidy(likely), "a long, b long"))
-    joined = checkpointed(similar_pairs(own, rows, tried, size))
 
     # sets that are joined already have one label, whatever shard joined them
-    roots = components(joined)
+    roots = joined(tried)
     members = met.select("h", "fp").union(met.select("h", "m")).distinct()
     labelled = members.join(roots, members["fp"] == roots["node"], "left").select("h", "fp", F.coalesce("root", "fp").alias("label"))
     same = (F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp", F.lit(1)).cast("decimal(38,0)")).alias("s"))
     open_ = labelled.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), *same).filter("lo < hi").groupBy("n", "x", "s").agg(F.min("h").alias("h")).select("h")
     shards = labelled.join(open_, "h").join(sets, "fp").select("h", "fp", "label", "n", "sim", "bits")
-    untried = checkpointed(shard_pairs(shards).join(tried, ["a", "b"], "left_anti"))
-    more = similar_pairs(own, rows, untried, size)
-    return grouped_rows(rows, components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)))
+    blocks = joined(checkpointed(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(shard_pairs(shards))))
+    blocks = blocks.union(blocks.select("root", "root")).distinct().toDF("fp", "block")
+    members = checkpointed(blocks.join(sets.select("fp", "n"), "fp").select("block", "fp", "n"))
+    return grouped_rows(rows, joined(checkpointed(joined_sets(own, rows, members, size))))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find=near_duplicates) -> DataFrame:

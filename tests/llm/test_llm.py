@@ -607,6 +607,41 @@ def test_a_chain_of_copies_is_one_group(spark):
     assert [found[k] for k in range(len(texts))] == groups and len(set(groups)) == 1
 
 
+def test_pairs_that_may_be_similar_leave_fewer_rows_than_there_are_sets(spark):
+    """Two shards, each of 150 sets that are all alike, and one set of its own kind."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for h in range(2):
+        base = rng.integers(-(1 << 63), 1 << 63, 140, np.int64)
+        for k in range(150):
+            own = np.unique(np.r_[base, rng.integers(-(1 << 63), 1 << 63, 3, np.int64)])
+            rows.append((h, 1000 * h + k, 1000 * h + k, len(own), simhash.signed(simhash.majority(own.view(np.uint64))), simhash.parities(own)))
+        own = np.unique(rng.integers(-(1 << 63), 1 << 63, 143, np.int64))
+        rows.append((h, 1000 * h + 999, 1000 * h + 999, len(own), simhash.signed(simhash.majority(own.view(np.uint64))), simhash.parities(own)))
+    links = simhash.shard_pairs(spark.createDataFrame(rows, "h long, fp long, label long, n int, sim long, bits binary"))
+    assert links.count() == 2 * 149
+    roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
+    assert roots == {1000 * h + k: 1000 * h for h in range(2) for k in range(1, 150)}
+
+
+@pytest.mark.parametrize("held, few", [(1_500, 0), (500_000, 300_000)])
+def test_a_large_group_about_the_threshold(spark, monkeypatch, held, few):
+    """Many of its pairs may be similar and aren't: their links join no groups."""
+    monkeypatch.setattr(simhash, "HELD", held)
+    monkeypatch.setattr(simhash, "FEW", few)
+    rng = random.Random(12)
+    words = [f"g{rng.randint(0, 9999)}" for _ in range(150)]
+    texts = []
+    for _ in range(120):
+        own = list(words)
+        for _ in range(rng.choice((1, 3, 4, 5, 6))):
+            own[rng.randrange(len(own))] = f"z{rng.randint(0, 9999)}"
+        texts.append(" ".join(own))
+    groups = plain_copies(texts)
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs_of(spark, texts)).collect()}
+    assert [found[k] for k in range(len(texts))] == groups and 1 < len(set(groups)) < len(texts)
+
+
 @pytest.mark.parametrize("find", [simhash.near_duplicates, simhash.near_copies])
 def test_rows_that_are_no_copies_stay_though_their_ids_repeat(spark, find):
     one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
