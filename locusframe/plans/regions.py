@@ -229,13 +229,11 @@ Q["alignment_pcount"] = (
 )
 
 
-def span_of(pdf):
-    import pandas as pd
-
-    return pd.DataFrame({"rid": [pdf["_row"].iloc[0]], "value": [int(pdf["r_end"].max() - pdf["r_start"].min() + 1)]})
+def span_of(rid, pairs):
+    return [(rid, pairs["r_end"].max() - pairs["r_start"].min() + 1)]
 
 
 Q["each_region"] = (
-    lambda s, d: C.each_region(regions(s, d), signal(s, d), span_of, "rid long, value long", width=WIDTH),
+    lambda s, d: C.each_region(regions(s, d), signal(s, d), span_of, "rid long, value long", width=WIDTH, columns=["r_start", "r_end"]),
     f"with {RG} select rid, max(g.e)-min(g.s)+1 as value from r join g on {MEET} group by rid",
 )

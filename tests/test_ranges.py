@@ -80,6 +80,23 @@ def test_subfeatures_count_twice_but_names_once(spark):
     assert count("count") == {"t": 2, "u": 0} and count("ncount") == {"t": 1, "u": 0}
 
 
+def test_each_region_is_whole_where_batches_end(spark):
+    (a, _), (b, _) = made(spark, 40, 9), made(spark, 40, 10)
+    pairs = [(r["_row"], r["r_start"]) for r in R.overlap_join(a, b, 64).collect()]
+    want = {k: sorted(s for j, s in pairs if j == k) for k, _ in pairs}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        starts = C.each_region(a, b, lambda k, p: [(k, s) for s in p["r_start"]], "id long, s long", width=64, columns=["r_start"])
+        found = starts.collect()
+        calls = C.each_region(a, b, lambda k, p: [(k, len(p["r_end"]))], "id long, n long", width=64).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {k: sorted(r["s"] for r in found if r["id"] == k) for k in want} == want and max(map(len, want.values())) > 3
+    assert sorted((r["id"], r["n"]) for r in calls) == sorted((k, len(v)) for k, v in want.items())
+    # regions go to Python many at a time
+    assert "MapInArrow" in starts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_plan_is_an_equi_join(spark):
     a, _ = made(spark, 5, 8)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
