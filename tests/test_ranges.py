@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.operators import collect as C
+from locusframe.operators import methods
 from locusframe.operators import ranges as R
 
 SCHEMA = "_row long, seq_id string, start long, end long, strand int, name string, score double"
@@ -80,6 +81,28 @@ def test_subfeatures_count_twice_but_names_once(spark):
     assert count("count") == {"t": 2, "u": 0} and count("ncount") == {"t": 1, "u": 0}
 
 
+def test_subfeatures_where_many_rows_have_one_place(spark):
+    rng = random.Random(4)
+    spans = [("c", a := rng.randint(1, 60), a + rng.randint(0, 9), rng.choice([-1, 0, 1])) for _ in range(8)]
+    rows = [(*rng.choice(spans), rng.choice([None, 0.0, 1.5, 2.0, 7.0]), rng.choice("xyz")) for _ in range(200)]
+    signal = spark.createDataFrame(rows, "seq_id string, start long, end long, strand int, score double, name string")
+    parts = spark.createDataFrame([(f"t{k % 5}", "c", a := rng.randint(1, 60), a + rng.randint(0, 20), rng.choice([-1, 1])) for k in range(12)], "parent_id string, seq_id string, start long, end long, strand int")
+    parents = spark.createDataFrame([(f"t{k}",) for k in range(6)], "id string")
+    for strand in R.STRANDS:
+        pairs = R.overlap_join(parts, signal, 64, strand).withColumnRenamed("parent_id", "id")
+        inside = R.contains(F.col("start"), F.col("end"), F.col("r_start"), F.col("r_end"))
+        for m in methods.METHODS:
+            want = parents.join(pairs.groupBy("id").agg(methods.reduce(m, F.col("r_score"), inside, F.col("r_name")).alias(m)), "id", "left").withColumn(m, methods.filled(m, F.col(m)))
+            got = C.subfeature_score(parts, parents, signal, m, strand=strand, width=64)
+            assert got.schema[m].dataType == want.schema[m].dataType
+            assert {r["id"]: r[m] for r in got.collect()} == pytest.approx({r["id"]: r[m] for r in want.collect()}), m
+    with pytest.raises(ValueError, match="method"):
+        C.subfeature_score(parts, parents, signal, "rpm")
+    # rows of one place meet the parts once
+    merged, _ = C.merged_rows(signal, "count")
+    assert merged.count() == len(set(r[:4] for r in rows))
+
+
 def test_each_region_is_whole_where_batches_end(spark):
     (a, _), (b, _) = made(spark, 40, 9), made(spark, 40, 10)
     pairs = [(r["_row"], r["r_start"]) for r in R.overlap_join(a, b, 64).collect()]
