@@ -13,6 +13,25 @@ from locusframe.operators import rows as W
 from locusframe.streaming import intervals as S
 
 
+@pytest.fixture(scope="module")
+def level(spark):
+    """Rows of two regions; in the first, test is 50 everywhere, in parts whose mean isn't exactly 50 once they are merged."""
+    rng = random.Random(5)
+    n = next(k for k in range(2, 200) if 50.0 / k * k != 50.0)
+    part = lambda k: [(1, 7 * n * k + p, float(rng.randint(1, 999)), 50.0) for p in range(n)] + [(2, 7 * n * k + p, float(p), -float(p)) for p in range(n)]
+    rows = spark.sparkContext.parallelize(range(4), 4).flatMap({k: part(k) for k in range(4)}.get)
+    return spark.createDataFrame(rows, "_row long, pos long, ref double, test double")
+
+
+def test_pearson_of_a_level_signal(level):
+    assert {r["_row"]: r["r"] for r in R.pearson(level).collect()} == {1: None, 2: pytest.approx(-1)}
+
+
+def test_summary_without_level_signals(level):
+    found = R.summary(R.pearson(level)).first()
+    assert (found["n"], found["mean"], found["median"]) == (1, pytest.approx(-1), pytest.approx(-1))
+
+
 def test_depth_is_what_counting_gives(spark):
     rng = random.Random(2)
     rows = [(rng.choice("ab"), (lo := rng.randint(0, 90)), lo + rng.randint(0, 15)) for _ in range(60)]
