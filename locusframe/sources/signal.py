@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .annotation import bed, gff
 from .binary import bam, big
-from .files import data_lines, lines, load
+from .files import data_lines, lines, load, placed_lines
 
 
 def from_features(features: DataFrame) -> DataFrame:
@@ -25,23 +25,23 @@ def bedgraph(spark: SparkSession, path: str) -> DataFrame:
 def wig(spark: SparkSession, path: str) -> DataFrame:
     """fixedStep, variableStep and bedGraph lines of wiggle files, one at least of the first line of a file.
 
-    Each line takes the declaration before it. Lines are numbered in the order of reading; declarations are few, so
-    they are the ones that are brought together: each covers the lines up to the next.
+    Each line takes the declaration before it in its file, or else in the files before by name. A piece of a file that
+    Spark reads is gone through on its own; what pieces before it leave open are a row each, brought together.
     """
-    rows = lines(spark, path).filter("trim(value) <> '' and not startswith(value, '#') and not value rlike '^(track|browser)\\\\b'")
-    part = F.shiftright("_row", 33)
+    rows = placed_lines(spark, path).filter("trim(value) <> '' and not startswith(value, '#') and not value rlike '^(track|browser)\\\\b'")
+    piece = ["_file", "_at"]
     get = lambda k: F.regexp_extract("value", rf"\b{k}=(\S+)", 1)
     number = lambda k, d: F.coalesce(get(k).try_cast("long"), F.lit(d))
-    marked = rows.withColumns({"_part": part, "_decl": F.when(F.col("value").rlike("^(fixed|variable)Step"), F.struct(F.substring_index("value", " ", 1).alias("kind"), get("chrom").alias("chrom"), number("start", 1).alias("start"), number("step", 1).alias("step"), number("span", 1).alias("span"), F.col("_row").alias("row")))})
-    w = Window.partitionBy("_part").orderBy("_row")
+    marked = rows.withColumns({"_decl": F.when(F.col("value").rlike("^(fixed|variable)Step"), F.struct(F.substring_index("value", " ", 1).alias("kind"), get("chrom").alias("chrom"), number("start", 1).alias("start"), number("step", 1).alias("step"), number("span", 1).alias("span"), F.col("_row").alias("row")))})
+    w = Window.partitionBy(*piece).orderBy("_row")
     within = marked.withColumn("d", F.last("_decl", True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.count(F.when(F.col("_decl").isNull(), 1)).over(w))
     # what a part of a file takes over from the parts before: a row for each part
-    lasts = within.groupBy("_part").agg(F.max_by("_decl", F.when(F.col("_decl").isNotNull(), F.col("_row"))).alias("l"), F.count(F.when(F.col("_decl").isNull(), 1)).alias("n"), F.max(F.when(F.col("_decl").isNotNull(), F.col("_k"))).alias("kd"))
-    o = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    lasts = within.groupBy(*piece).agg(F.max_by("_decl", F.when(F.col("_decl").isNotNull(), F.col("_row"))).alias("l"), F.count(F.when(F.col("_decl").isNull(), 1)).alias("n"), F.max(F.when(F.col("_decl").isNotNull(), F.col("_k"))).alias("kd"))
+    o = Window.orderBy(*piece).rowsBetween(Window.unboundedPreceding, -1)
     total = F.coalesce(F.sum("n").over(o), F.lit(0))
     over = lasts.withColumns({"before": total}).withColumn("at", F.when(F.col("l").isNotNull(), F.col("before") + F.col("kd")))
-    over = over.select("_part", "before", F.last("l", True).over(o).alias("carried"), F.last("at", True).over(o).alias("carried_at"))
-    full = within.join(F.broadcast(over), "_part")
+    over = over.select(*piece, "before", F.last("l", True).over(o).alias("carried"), F.last("at", True).over(o).alias("carried_at"))
+    full = within.join(F.broadcast(over), piece)
     own_at = F.last(F.when(F.col("_decl").isNotNull(), F.col("before") + F.col("_k")), True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     full = full.withColumn("at", own_at).withColumns({"decl": F.coalesce("d", "carried"), "at": F.coalesce("at", "carried_at")}).filter("_decl is null")
     cut = F.split(F.trim("value"), r"\s+")

@@ -121,6 +121,24 @@ def test_wig_over_several_parts(spark, tmp_path):
     assert sorted((r["start"], r["score"]) for r in rows) == [(k, float(k)) for k in range(1, 400)]
 
 
+@pytest.mark.parametrize("kind", ["fixed", "variable"])
+def test_wig_of_several_files_in_pieces(spark, tmp_path, kind):
+    head, line = {"fixed": ("fixedStep chrom={} start=1 step=1", "{}"), "variable": ("variableStep chrom={}", "{0} {0}")}[kind]
+    for c in ("c1", "c2", "c3"):
+        put(tmp_path, f"{c}.wig", head.format(c), *[line.format(k) for k in range(1, 400)])
+    # a file without a declaration goes on from the one before
+    put(tmp_path, "c4.wig", *[line.format(k) for k in range(400, 500)])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        rows = signal.wig(spark, f"{tmp_path}/*.wig").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    last = {"c1": 400, "c2": 400, "c3": 500}
+    assert sorted((r["seq_id"], r["start"], r["score"]) for r in rows) == sorted((c, k, float(k)) for c, n in last.items() for k in range(1, n))
+
+
 def test_sam_and_fasta(spark, tmp_path):
     path = put(tmp_path, "a.sam", "@HD\tVN:1", "@SQ\tSN:c1\tLN:500", "q\t16\tc1\t10\t30\t5M2N3M\t=\t0\t0\t*\t*\tNH:i:2")
     r = signal.sam(spark, path).first()
