@@ -27,6 +27,18 @@ def test_pearson_of_a_level_signal(level):
     assert {r["_row"]: r["r"] for r in R.pearson(level).collect()} == {1: None, 2: pytest.approx(-1)}
 
 
+def test_shift_of_a_level_signal(spark):
+    rng = random.Random(6)
+    rows = [(k, p, float(rng.randint(1, 999)), 50.0) for k in range(30) for p in range(150 + k)] + [(99, p, float(p), float(p)) for p in range(40)]
+    level = spark.createDataFrame(rows, "_row long, pos long, ref double, test double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small parts stay apart, as large ones do
+    try:
+        found = R.optimal_shift(level, 3, least=-2).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert [(r["_row"], r["shift"]) for r in found] == [(99, 0)]
+
+
 def test_summary_without_level_signals(level):
     found = R.summary(R.pearson(level)).first()
     assert (found["n"], found["mean"], found["median"]) == (1, pytest.approx(-1), pytest.approx(-1))
