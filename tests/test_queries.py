@@ -1,6 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
 import math
+import random
 from pathlib import Path
 
 import duckdb
@@ -34,6 +35,22 @@ def test_query_and_sql_agree(spark, db, name):
     assert rows(found) == rows(wanted)
 
 
+def test_shifts_among_level_regions_agree(spark, tmp_path):
+    """As large tables have them: quantities of most orders are level, and parts of a region are merged from several tasks."""
+    rng = random.Random(7)
+    lines = [(k, p, float(rng.randint(1, 999)), float(rng.randint(1, 50) if k % 10 == 0 else k % 50)) for k in range(500) for p in range(40)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_extendedprice double, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # small parts stay apart, as large ones do
+    try:
+        found = entry.queries()["optimal_shift"](spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert set(found["_row"] % 10) == {0}
+    assert rows(found) == rows(con.execute(entry.oracle_sql()["optimal_shift"]).df())
+
+
 @pytest.fixture(scope="module")
 def few(spark, tmp_path_factory):
     """Overlapping regions and signals of a few orders, in a folder of their own."""
